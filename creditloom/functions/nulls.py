@@ -51,22 +51,22 @@ def mean_over_rows(x: Column | str) -> Column:
 
 
 def slope(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column:
-    """Least-squares slope from five sums, 0 below two rows.
-
-    When all X are equal the exact variance is 0 and the quotient would be
-    rounding noise over EPS; that case is decided on the integer sums and is 0.
-    """
+    """Least-squares slope from five sums."""
     mx, my = sx / n, sy / n
-    value = (sxy / n - mx * my) / (sxx / n - mx * mx + F.lit(EPS))
-    flat = n * sxx == sx * sx
-    return F.when((n < 2) | flat, F.lit(0.0)).otherwise(value)
+    return (sxy / n - mx * my) / (sxx / n - mx * mx + F.lit(EPS))
 
 
 def slope_of(x: Column | str, y: Column | str) -> Column:
-    """Aggregate: slope of Y over integer X; missing Y adds nothing to its sums."""
+    """Aggregate: slope of Y over integer X, 0 below two rows.
+
+    A missing Y adds nothing to its sums. When all X are equal the exact
+    variance is 0 and the quotient would be rounding noise over EPS, so that
+    case is recognised by min = max and is 0.
+    """
     x = _col(x).cast("long")
     y = _col(y)
-    return slope(rows(), sum0(x), sum0(y), sum0(x * y), sum0(x * x))
+    value = slope(rows(), sum0(x), sum0(y), sum0(x * y), sum0(x * x))
+    return F.when((rows() < 2) | (F.min(x) == F.max(x)), F.lit(0.0)).otherwise(value)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
