@@ -1,6 +1,12 @@
 """Registered queries over the test tables, each next to its SQL oracle."""
 
-from creditloom.plans import feature_queries  # noqa: F401
+from creditloom.plans import (  # noqa: F401
+    audit_queries,
+    evaluate_queries,
+    explain_queries,
+    explore_queries,
+    feature_queries,
+)
 from creditloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -177,6 +177,15 @@ VIEWS = {
         on="l_orderkey = o_orderkey",
         where="l_orderkey%3<>0 and o_custkey%4<>0",
     ),
+    # Every applicant with a deterministic score: the cohort of the dashboards.
+    "cohort": View(
+        ("customer",),
+        (
+            ("applicant_id", "c_custkey"),
+            ("target", _APPLICATION[1][1]),
+            ("probability", "cast(c_custkey*7919%1000 as double)/2000"),
+        ),
+    ),
     # Deterministic score with labels, for the evaluation operators.
     "scored": View(
         ("orders",),
