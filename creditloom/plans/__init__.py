@@ -6,6 +6,9 @@ from creditloom.plans import (  # noqa: F401
     explain_queries,
     explore_queries,
     feature_queries,
+    model_queries,
+    source_queries,
+    stream_queries,
 )
 from creditloom.plans.registry import QUERIES
 

@@ -60,14 +60,14 @@ def quoted(text):
     return "'" + text.replace("'", "''") + "'"
 
 
-_TEXT = {c: repr(b) if "e" in repr(b) else f"{b!r}e0" for c, b in COEFFICIENTS.items()}
+COEFFICIENT_SQL = {c: repr(b) if "e" in repr(b) else f"{b!r}e0" for c, b in COEFFICIENTS.items()}
 _PER_FEATURE = " union all ".join(
     f"select SK_ID_CURR, {i} as pos, '{c}' as feature, {quoted(display_name(c))} as display_name,"
-    f" coalesce({_TEXT[c]}*({c}-(select avg({c}) from sc)), 0e0) as shap_value,"
+    f" coalesce({COEFFICIENT_SQL[c]}*({c}-(select avg({c}) from sc)), 0e0) as shap_value,"
     f" cast({c} as double) as feature_value from sc"
     for i, c in enumerate(FEATURES)
 )
-BASE_SQL = "1.2e0+" + "+".join(f"({_TEXT[c]})*(select avg({c}) from sc)" for c in FEATURES)
+BASE_SQL = "1.2e0+" + "+".join(f"({COEFFICIENT_SQL[c]})*(select avg({c}) from sc)" for c in FEATURES)
 CTES = [
     *CLEAN_CTES,
     f"sc as (select *, {RATIO_SQL} from app)",

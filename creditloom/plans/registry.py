@@ -39,7 +39,7 @@ def query(covers: str, sql: str | None = None):
 def with_views(views: Iterable[str], body: str, ctes: Iterable[str] = ()) -> str:
     """Oracle text: the views as CTEs, further CTEs, then the body."""
     parts = [f"{v} as ({view_sql(v)})" for v in views] + list(ctes)
-    return f"with {', '.join(parts)} {body}" if parts else body
+    return f"with {', '.join(parts)} {body}"
 
 
 def r6(expr: str, name: str | None = None) -> str:
