@@ -81,10 +81,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double, so that the order of additions does not show."""
+    """Round every double, so that the order of additions does not show.
+
+    The rounding is one multiplication, addition, floor and division, which
+    give the same bits in every engine; built-in rounding differs on halves.
+    """
+    scale = float(10**digits)
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            (F.floor(F.col(f.name) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema

@@ -116,12 +116,12 @@ def pairwise_corr(x: Column, y: Column) -> Column:
     """Pearson over rows where both are present; NULL when one side is constant.
 
     The built-in ``corr`` divides by zero for a constant column, which is an
-    error in ANSI mode, so the quotient is taken here.
+    error in ANSI mode, so the quotient is taken here. The running deviation of
+    equal values is exactly 0.
     """
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def correlations_with(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

@@ -100,9 +100,10 @@ def _share(pos: float, n: int) -> float:
 
 
 def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
-    """Shrink the brackets until each holds few values or one repeated value."""
+    """Shrink the brackets until each holds few rows or cannot shrink for one repeated value."""
+    settled: set[int] = set()
     for _ in range(8):
-        wide = [t for t in targets if t.inside > small and t.lo < t.hi]
+        wide = [t for t in targets if t.inside > small and t.lo < t.hi and id(t) not in settled]
         if not wide:
             return
         sketches = []
@@ -128,6 +129,8 @@ def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
             t.lo, t.hi, t.below, t.inside = lo, hi, counts[f"c{i}"]["below"], counts[f"c{i}"]["inside"]
             if not t.holds():  # the sketch missed: keep the bracket known to hold the rank
                 t.lo, t.hi, t.below, t.inside = before
+            if (t.lo, t.hi) == before[:2]:
+                settled.add(id(t))
 
 
 def _pick(df: DataFrame, targets: list[_Target]) -> list[float]:

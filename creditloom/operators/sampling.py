@@ -41,18 +41,27 @@ def stratified_cut(
     sorting the class; the condition then needs no shuffle at all.
     """
     h = shuffle_key(key)
-    sizes = df.groupBy(label).count().collect()
-    wanted = {r[label]: round(fraction * r["count"]) for r in sizes if r[label] in classes}
+    of_class = {str(c): F.when(F.col(label) == c, h) for c in classes}
+    cuts = exact_ranks(df, of_class, lambda n: [max(round(fraction * n) - 1, 0)])
+    cut = {c: round(v[0]) for c, v in cuts.items() if v[0] is not None}
+    seen = df.agg(
+        *[
+            F.struct(
+                F.count(of_class[c]).alias("n"),
+                F.count_if(of_class[c] < x).alias("below"),
+                F.count_if(of_class[c] == x).alias("at"),
+            ).alias(c)
+            for c, x in cut.items()
+        ]
+    ).first()
     condition = F.lit(False)
-    for c, k in wanted.items():
-        if k == 0:
-            continue
-        of_class = F.when(F.col(label) == c, h)
-        cut = round(exact_ranks(df, {"h": of_class}, lambda n, k=k: [k - 1])["h"][0])
-        at = df.where((F.col(label) == c) & (h == cut))
-        below = df.where((F.col(label) == c) & (h < cut)).count()
-        last = at.orderBy(key).limit(k - below).agg(F.max(key)).first()[0]
-        condition = condition | ((F.col(label) == c) & ((h < cut) | ((h == cut) & (F.col(key) <= last))))
+    for c, x in cut.items():
+        room = round(fraction * seen[c]["n"]) - seen[c]["below"]
+        inside = of_class[c] <= x if room == seen[c]["at"] else of_class[c] < x
+        if 0 < room < seen[c]["at"]:  # keys that share the hash of the cut: order them by key
+            last = df.where(of_class[c] == x).orderBy(key).limit(room).agg(F.max(key)).first()[0]
+            inside = inside | ((of_class[c] == x) & (F.col(key) <= last))
+        condition = condition | F.coalesce(inside, F.lit(False))
     return condition
 
 

@@ -132,7 +132,7 @@ DECISION_STATS = """count(*) as total_decisions, count(*) filter (where lower(de
  count(*) filter (where lower(decision)='declined') as declined_count,
  count(*) filter (where lower(decision)='escalated') as escalated_count,
  count(*) filter (where over) as overrides_count,
- round(coalesce(count(*) filter (where over)/nullif(count(*),0),0), 6)+0e0 as override_rate"""
+ floor(coalesce(count(*) filter (where over)/nullif(count(*),0),0)*1e6+5e-1)/1e6 as override_rate"""
 JOINED_CTE = """joined as (select d.*, predicted_probability, (lower(decision)='approved' and
  predicted_probability>=15e-2) or (lower(decision)='declined' and predicted_probability<15e-2) as over
  from decisions d join predictions p on d.prediction_id=p.id)"""

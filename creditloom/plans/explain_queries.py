@@ -269,7 +269,7 @@ def narrations(spark, sf_dir):
     with_views(
         APP,
         f"""select SK_ID_CURR as applicant_id, {band_sql('probability')} as risk_label,
- {r6('round(probability, 6)', 'predicted_probability')}, feature, {r6('shap_value')}
+ {r6('probability', 'predicted_probability')}, feature, {r6('shap_value')}
  from score join long using (SK_ID_CURR)""",
         CTES,
     ),

@@ -81,14 +81,15 @@ UNIVARIATE = [*MONEY, "DAYS_BIRTH"]
         APP,
         _union(
             f"select '{c}' as \"column\", {r6(f'avg({c})', 'mean')}, {r6(f'median({c})', 'median')},"
-            f" round(var_samp({c}), 2)+0e0 as variance, {r6(f'stddev_samp({c})', 'std')} from application_train"
+            f" {r6(f'floor(var_samp({c})*1e2+5e-1)/1e2', 'variance')}, {r6(f'stddev_samp({c})', 'std')} from application_train"
             for c in UNIVARIATE
         ),
     ),
 )
 def univariate_moments(spark, sf_dir):
     df = explore.moments(_app(spark, sf_dir), UNIVARIATE)
-    return rounded(df.withColumn("variance", F.round("variance", 2)))
+    cents = F.floor(F.col("variance") * 100.0 + 0.5) / 100.0
+    return rounded(df.withColumn("variance", cents))
 
 
 @query(

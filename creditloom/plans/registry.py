@@ -44,7 +44,7 @@ def with_views(views: Iterable[str], body: str, ctes: Iterable[str] = ()) -> str
 
 def r6(expr: str, name: str | None = None) -> str:
     """A rounded double column of the oracle."""
-    return f"round({expr}, 6)+0e0 as {name or expr}"
+    return f"floor(({expr})*1e6+5e-1)/1e6 as {name or expr}"
 
 
 def columns_sql(exact: Iterable[str], doubles: Iterable[str]) -> str:
