@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,48 +25,60 @@ def sample_fraction(df: DataFrame, fraction: float, key: str = "SK_ID_CURR") ->
     return df.where(shuffle_key(key) % PARTS < round(fraction * PARTS))
 
 
-def sample_rows(df: DataFrame, n: int, key: str = "SK_ID_CURR") -> DataFrame:
-    """Exactly n rows (or all): the first n in hash order, kept per task and then merged."""
-    return df.orderBy(shuffle_key(key), F.col(key)).limit(n)
+def sample_rows(df: DataFrame, n: int, key: str = "SK_ID_CURR", sorted_up_to: int = 100_000) -> DataFrame:
+    """Exactly n rows (or all): the first n in hash order.
+
+    A small sample is a top-n, kept per task and then merged. A large one is
+    cut at its n-th hash, so that it is never gathered in one place.
+    """
+    if n <= sorted_up_to:
+        return df.orderBy(shuffle_key(key), F.col(key)).limit(n)
+    return df.where(_first_by_hash(df, {"all": shuffle_key(key)}, lambda have: min(n, have), key))
 
 
 def fold_of(key: str = "SK_ID_CURR", folds: int = 5) -> Column:
     return (shuffle_key(key) % folds).cast("int")
 
 
-def stratified_cut(
-    df: DataFrame, fraction: float, label: str = "TARGET", key: str = "SK_ID_CURR", classes: tuple = (0, 1)
-) -> Column:
-    """Condition that holds for exactly round(fraction * n) rows of every class.
+def _first_by_hash(df: DataFrame, hashes: Mapping[str, Column], take: Callable[[int], int], key: str) -> Column:
+    """Condition for the first ``take(n)`` of the n rows that have each hash column.
 
-    The cut of each class is one order statistic of its hashes, found without
-    sorting the class; the condition then needs no shuffle at all.
+    The cut of each column is one order statistic, found without sorting; the
+    condition then needs no shuffle at all.
     """
-    h = shuffle_key(key)
-    of_class = {str(c): F.when(F.col(label) == c, h) for c in classes}
-    cuts = exact_ranks(df, of_class, lambda n: [max(round(fraction * n) - 1, 0)])
+    cuts = exact_ranks(df, hashes, lambda n: [max(take(n) - 1, 0)])
     cut = {c: round(v[0]) for c, v in cuts.items() if v[0] is not None}
+    condition = F.lit(False)
+    if not cut:
+        return condition
     seen = df.agg(
         *[
             F.struct(
-                F.count(of_class[c]).alias("n"),
-                F.count_if(of_class[c] < x).alias("below"),
-                F.count_if(of_class[c] == x).alias("at"),
+                F.count(hashes[c]).alias("n"),
+                F.count_if(hashes[c] < x).alias("below"),
+                F.count_if(hashes[c] == x).alias("at"),
             ).alias(c)
             for c, x in cut.items()
         ]
     ).first()
-    condition = F.lit(False)
     for c, x in cut.items():
-        room = round(fraction * seen[c]["n"]) - seen[c]["below"]
-        inside = of_class[c] <= x if room == seen[c]["at"] else of_class[c] < x
+        room = take(seen[c]["n"]) - seen[c]["below"]
+        inside = hashes[c] <= x if room == seen[c]["at"] else hashes[c] < x
         if 0 < room < seen[c]["at"]:  # keys that share the hash of the cut: order them by key
-            last = df.where(of_class[c] == x).orderBy(key).limit(room).agg(F.max(key)).first()[0]
-            inside = inside | ((of_class[c] == x) & (F.col(key) <= last))
+            last = df.where(hashes[c] == x).orderBy(key).limit(room).agg(F.max(key)).first()[0]
+            inside = inside | ((hashes[c] == x) & (F.col(key) <= last))
         condition = condition | F.coalesce(inside, F.lit(False))
     return condition
 
 
+def stratified_cut(
+    df: DataFrame, fraction: float, label: str = "TARGET", key: str = "SK_ID_CURR", classes: tuple = (0, 1)
+) -> Column:
+    """Condition that holds for exactly round(fraction * n) rows of every class."""
+    of_class = {str(c): F.when(F.col(label) == c, shuffle_key(key)) for c in classes}
+    return _first_by_hash(df, of_class, lambda n: round(fraction * n), key)
+
+
 def stratified_split(
     df: DataFrame, train_fraction: float = 0.8, label: str = "TARGET", key: str = "SK_ID_CURR"
 ) -> DataFrame:

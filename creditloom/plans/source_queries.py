@@ -200,7 +200,7 @@ ALIGNED = ["EXT_SOURCE_2", "AMT_CREDIT", "NAME_INCOME_TYPE_nan", "ORGANIZATION_T
 
 
 @query(
-    "C08",
+    "C08, U03",
     with_views(
         APP,
         "select SK_ID_CURR, EXT_SOURCE_2, AMT_CREDIT, case when NAME_INCOME_TYPE is null then 1 else 0 end as"
@@ -317,7 +317,7 @@ _IMPUTED = ["AMT_INCOME_TOTAL", "AMT_ANNUITY", "CNT_FAM_MEMBERS", "OWN_CAR_AGE",
 
 
 @query(
-    "C03",
+    "C03, C11",
     with_views(
         APP,
         "select SK_ID_CURR, "

@@ -71,3 +71,6 @@ def test_sample_size(spark):
     df = spark.range(1000).withColumnRenamed("id", "SK_ID_CURR")
     assert sample_rows(df, 100).distinct().count() == 100
     assert sample_rows(df, 5000).count() == 1000
+    small, cut = sample_rows(df, 100), sample_rows(df, 100, sorted_up_to=10)
+    assert sorted(small.collect()) == sorted(cut.collect())
+    assert sample_rows(df, 5000, sorted_up_to=10).count() == 1000
