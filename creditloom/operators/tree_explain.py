@@ -3,8 +3,8 @@
 Every leaf is a product of per-feature intervals. A feature outside the coalition
 lets the share of training rows through that its splits let through; the Shapley
 value of such a product has a closed form in the elementary symmetric sums of its
-factors (Lundberg et al. 2018). Leaves are broadcast; each Arrow batch is handled
-with array operations over all its rows.
+factors (Lundberg et al. 2018). Leaves are broadcast (trees x leaves entries, whatever
+the number of rows); each Arrow batch is handled with array operations over all its rows.
 """
 
 from __future__ import annotations
@@ -64,24 +64,38 @@ def base_value(leaves: Sequence[Leaf]) -> float:
     return float(sum(value * share.prod() for value, _, _, _, share in leaves))
 
 
+def leaf_table(value: float, share: np.ndarray) -> np.ndarray:
+    """Contributions of one leaf for every pattern of features inside or outside their interval.
+
+    A row meets a leaf in one of 2^d patterns only (d features on its path), so the
+    Shapley sums are taken once per pattern and not once per row.
+    """
+    d = len(share)
+    inside = (np.arange(2**d)[:, None] >> np.arange(d)) & 1
+    table = np.empty((2**d, d))
+    for i in range(d):
+        # sums[k]: total weight of coalitions of k other features
+        sums = [np.ones(2**d)]
+        for j in range(d):
+            if j != i:
+                grown = [s * share[j] for s in sums] + [np.zeros(2**d)]
+                for k, s in enumerate(sums):
+                    grown[k + 1] = grown[k + 1] + s * inside[:, j]
+                sums = grown
+        weighted = sum(s * (factorial(k) * factorial(d - 1 - k) / factorial(d)) for k, s in enumerate(sums))
+        table[:, i] = value * (inside[:, i] - share[i]) * weighted
+    return table
+
+
 def contributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
     """Rows x features matrix of contributions in log-odds."""
     phi = np.zeros_like(x)
     for value, features, low, high, share in leaves:
-        d = len(features)
-        values = x[:, features]
-        inside = ((values > low) & (values <= high)).astype(float)
-        for i in range(d):
-            # sums[k]: total weight of coalitions of k other features
-            sums = [np.ones(len(x))]
-            for j in range(d):
-                if j != i:
-                    grown = [s * share[j] for s in sums] + [np.zeros(len(x))]
-                    for k, s in enumerate(sums):
-                        grown[k + 1] = grown[k + 1] + s * inside[:, j]
-                    sums = grown
-            weighted = sum(s * (factorial(k) * factorial(d - 1 - k) / factorial(d)) for k, s in enumerate(sums))
-            phi[:, features[i]] += value * (inside[:, i] - share[i]) * weighted
+        at = list(features)
+        if at:
+            values = x[:, at]
+            pattern = ((values > low) & (values <= high)) @ (1 << np.arange(len(at)))
+            phi[:, at] += leaf_table(value, share)[pattern]
     return phi
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.nulls import rounded
 from creditloom.operators import encode, evaluate
 from creditloom.operators.clean import candidate_columns, drop_empty_and_impute, flag_unknown_employment
+from creditloom.plans.evaluate_queries import CONF_CTE
 from creditloom.plans.explain_queries import COEFFICIENT_SQL, COEFFICIENTS, FEATURES, INTERCEPT
 from creditloom.plans.feature_queries import FLAGGED_CTE
 from creditloom.plans.registry import query, r6, with_views
@@ -133,7 +134,21 @@ def narrowed_types(spark, sf_dir):
     return tables.narrow_report(view(spark, sf_dir, "application_train"))
 
 
-@query("S08")
+_METRICS = f"select tp, fp, tn, fn, {', '.join(r6(c) for c in ('accuracy', 'precision', 'recall', 'f1'))} from metrics"
+
+
+@query(
+    "S08",
+    with_views(
+        ["scored"],
+        f"{_METRICS} union all {_METRICS}",
+        [
+            CONF_CTE,
+            """metrics as (select *, (tp+tn)/(tp+fp+tn+fn) as accuracy, tp/(tp+fp) as precision, tp/(tp+fn) as recall,
+ 2*tp/(2*tp+fp+fn) as f1 from conf)""",
+        ],
+    ),
+)
 def metrics_files(spark, sf_dir):
     """A metrics table through the small JSON and CSV sinks and back."""
     metrics = evaluate.confusion(view(spark, sf_dir, "scored"), 0.15)
@@ -141,7 +156,7 @@ def metrics_files(spark, sf_dir):
     tables.write_small_json(metrics, json_path)
     tables.write_small_csv(metrics, csv_path)
     from_csv = spark.read.schema(metrics.schema).option("header", True).csv(csv_path)
-    return spark.read.schema(metrics.schema).json(json_path).unionByName(from_csv)
+    return rounded(spark.read.schema(metrics.schema).json(json_path).unionByName(from_csv))
 
 
 _BIN = "cast(" + "+".join(f"(case when p>{k}e-1 then 1 else 0 end)" for k in range(1, 10)) + " as int)"
