@@ -298,7 +298,10 @@ def labels_aligned(spark, sf_dir):
     return view(spark, sf_dir, "application_train").select("SK_ID_CURR", "AMT_CREDIT", "EXT_SOURCE_2").join(labels, "SK_ID_CURR")
 
 
-_LATE_LOG = "select prediction_id, decision, notes, ts, case when l_partkey%5=0 then -prediction_id else prediction_id end as pid from decisions"
+_LATE_LOG = (
+    "select prediction_id, decision, notes, ts,"
+    " case when l_partkey%5=0 then -prediction_id else prediction_id end as pid from decisions"
+)
 
 
 @query(

@@ -158,6 +158,19 @@ def spread(key: str, parts: int = 8) -> Column:
     return F.pmod(F.hash(key), F.lit(parts))
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store a history table bucketed by its join key and return it as a table.
+
+    Aggregations and joins on the key then need no shuffle. One bucket is read
+    by one task, so keep tables with a very frequent key in plain parquet.
+    """
+    writer = df.repartition(buckets, key).write.mode("errorifexists").bucketBy(buckets, key)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_small_json(df: DataFrame, path: str) -> None:
     """One file; only for results as small as a metrics table or a feature list."""
     df.coalesce(1).write.mode("errorifexists").json(path)

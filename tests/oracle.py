@@ -54,5 +54,6 @@ def compare(spark_df, con, sql: str) -> list[str]:
     only = [(a, b) for a, b in zip(mine, theirs, strict=False) if a != b]
     if only:
         a, b = only[0]
-        problems.append(f"{len(only)} rows differ, first: {[(n, x, y) for n, x, y in zip(names, a, b, strict=True) if x != y][:6]}")
+        cells = [(n, x, y) for n, x, y in zip(names, a, b, strict=True) if x != y]
+        problems.append(f"{len(only)} rows differ, first: {cells[:6]}")
     return problems

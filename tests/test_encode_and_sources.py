@@ -48,7 +48,9 @@ def test_baseline_modes(spark):
 
 def test_overrides(spark):
     base = spark.createDataFrame([(1, 5, 1.0, "t")], "SK_ID_CURR long, n int, x double, s string")
-    rows = spark.createDataFrame([(1, {"n": 7.9, "x": None, "nope": 1.0}), (2, {"n": 1.0})], "SK_ID_CURR long, updates map<string,double>")
+    rows = spark.createDataFrame(
+        [(1, {"n": 7.9, "x": None, "nope": 1.0}), (2, {"n": 1.0})], "SK_ID_CURR long, updates map<string,double>"
+    )
     assert tuple(encode.apply_overrides(base, rows).first()) == (1, 7, 1.0, "t")
     assert tuple(encode.apply_overrides(base, rows, missing="set").first()) == (1, 7, None, "t")
 

@@ -75,7 +75,11 @@ def log(spark):
         "id long, applicant_id long, predicted_probability double, ts string",
     ).withColumn("ts", F.to_timestamp_ntz("ts"))
     decisions = spark.createDataFrame(
-        [(1, 5, "APPROVED", "", "2024-01-05 00:00:00"), (2, 9, "declined", None, "2024-01-06 00:00:00"), (1, 5, "what", "n", "2024-01-07 00:00:00")],
+        [
+            (1, 5, "APPROVED", "", "2024-01-05 00:00:00"),
+            (2, 9, "declined", None, "2024-01-06 00:00:00"),
+            (1, 5, "what", "n", "2024-01-07 00:00:00"),
+        ],
         "prediction_id long, officer_id long, decision string, notes string, ts string",
     ).withColumn("ts", F.to_timestamp_ntz("ts"))
     return predictions, decisions, spark.createDataFrame([(5, "ann", "x")], "id long, username string, role string")
@@ -101,7 +105,11 @@ def test_history_keeps_open_predictions_and_fills(spark):
 
 def test_latest_history_row_is_the_decision_just_written(spark):
     predictions, decisions, users = log(spark)
-    new = spark.createDataFrame([(3, 5, "approved", "ok", "2024-02-01 00:00:00"), (99, 5, "approved", "", "2024-02-01 00:00:00")], "prediction_id long, officer_id long, decision string, notes string, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    day = "2024-02-01 00:00:00"
+    new = spark.createDataFrame(
+        [(3, 5, "approved", "ok", day), (99, 5, "approved", "", day)],
+        "prediction_id long, officer_id long, decision string, notes string, ts string",
+    ).withColumn("ts", F.to_timestamp_ntz("ts"))
     accepted, rejected = audit.accept_decisions(new, predictions)
     assert (accepted.count(), rejected.count()) == (1, 1)
     grown = decisions.unionByName(accepted)
@@ -111,7 +119,9 @@ def test_latest_history_row_is_the_decision_just_written(spark):
 
 def test_pending_uses_default_name(spark):
     predictions, decisions, _ = log(spark)
-    cohort = spark.createDataFrame([(10, 0, 0.2), (11, 1, 0.3), (12, 0, 0.1)], "applicant_id long, target int, probability double")
+    cohort = spark.createDataFrame(
+        [(10, 0, 0.2), (11, 1, 0.3), (12, 0, 0.1)], "applicant_id long, target int, probability double"
+    )
     names = spark.createDataFrame([(11, "Eve")], "SK_ID_CURR long, name string")
     got = audit.pending_cases(cohort, predictions, decisions, names).orderBy("applicant_id").collect()
     assert [(r["applicant_id"], r["name"], r["risk_classification"], r["risk_group"]) for r in got] == [

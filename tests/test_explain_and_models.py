@@ -25,7 +25,8 @@ def test_linear_additivity(rows):
     for r in explain.explain(rows, MODEL).collect():
         margin = r["base_value"] + sum(f["shap_value"] for f in r["explanation"])
         assert r["probability"] == pytest.approx(1 / (1 + exp(-margin)))
-        assert [abs(f["shap_value"]) for f in r["explanation"]] == sorted((abs(f["shap_value"]) for f in r["explanation"]), reverse=True)
+        strength = [abs(f["shap_value"]) for f in r["explanation"]]
+        assert strength == sorted(strength, reverse=True)
 
 
 def test_missing_value_contributes_nothing(rows):
@@ -53,7 +54,10 @@ def test_waterfall_reaches_the_log_odds(rows):
 
 
 def test_normalized_values(spark):
-    df = spark.createDataFrame([(1, 2.0, 5.0, None), (2, 4.0, 5.0, None), (3, None, 5.0, None)], "SK_ID_CURR long, x double, same double, none double")
+    df = spark.createDataFrame(
+        [(1, 2.0, 5.0, None), (2, 4.0, 5.0, None), (3, None, 5.0, None)],
+        "SK_ID_CURR long, x double, same double, none double",
+    )
     got = {(r[0], r[1]): r[3] for r in explain.normalized_values(df, ["x", "same", "none"]).collect()}
     assert got == {(1, "x"): 0.0, (2, "x"): 1.0, (3, "x"): 0.5, (1, "same"): 0.0, (2, "same"): 0.0, (3, "same"): 0.0}
 
@@ -120,7 +124,10 @@ def test_tree_contributions_are_shapley_values(spark, training, boosted):
 
 
 def test_preparation_fills_and_flags(spark):
-    df = spark.createDataFrame([(1, 0, 1.0, None), (2, 1, None, None), (3, 0, 3.0, None)], "SK_ID_CURR long, TARGET int, x double, gone double")
+    df = spark.createDataFrame(
+        [(1, 0, 1.0, None), (2, 1, None, None), (3, 0, 3.0, None)],
+        "SK_ID_CURR long, TARGET int, x double, gone double",
+    )
     prep = model.fit_preparation(df, ["x", "gone"])
     assert prep.features == ["x", "x_missing"]
     got = model.prepare(df, prep).orderBy("SK_ID_CURR").collect()
@@ -136,7 +143,8 @@ def test_scaling_uses_population_deviation(training):
 
 def test_balanced_weights(training):
     pdf, df = training
-    sums = {r["TARGET"]: r["w"] for r in model.with_balanced_weight(df).groupBy("TARGET").agg(F.sum("weight").alias("w")).collect()}
+    weights = model.with_balanced_weight(df).groupBy("TARGET").agg(F.sum("weight").alias("w"))
+    sums = {r["TARGET"]: r["w"] for r in weights.collect()}
     assert sums[0] == pytest.approx(300) and sums[1] == pytest.approx(300)
 
 

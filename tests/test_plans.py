@@ -4,11 +4,13 @@ import re
 
 import pytest
 
+from creditloom.functions.nulls import rounded
 from creditloom.operators.features.card import card_features
 from creditloom.operators.features.installments import last_payments
 from creditloom.operators.features.pos import pos_features
 from creditloom.plans import QUERIES
-from creditloom.session import RUNTIME_CONF
+from creditloom.session import RUNTIME_CONF, scratch_path
+from creditloom.sources.tables import save_bucketed
 from creditloom.sources.views import table, view
 
 
@@ -75,6 +77,18 @@ def test_big_joins_are_not_forced_to_broadcast(spark, sf0001):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_bucketed_history_needs_no_shuffle(spark, sf0001):
+    cards = view(spark, sf0001, "credit_card_balance")
+    stored = save_bucketed(cards, "bucketed_cards", "SK_ID_CURR", 4, scratch_path(spark, "bucketed"))
+    try:
+        text = plan(card_features(stored))
+        assert "Exchange hashpartitioning" not in text
+        rows = lambda df: sorted(map(str, rounded(df).collect()))
+        assert rows(card_features(stored)) == rows(card_features(cards))
+    finally:
+        spark.sql("drop table bucketed_cards")
+
+
 def test_runtime_settings_are_applied(spark, sf0001):
     table(spark, sf0001, "nation")
     for key, value in RUNTIME_CONF.items():

@@ -16,16 +16,23 @@ def parts(spark, sf0001):
     """The event and line tables as folders of parts in time order."""
     root = scratch_path(spark, "parts")
     for name, order in (("events", "ts"), ("lineitem", "l_shipdate")):
-        table(spark, sf0001, name).repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(f"{root}/{name}.parquet")
+        ordered = table(spark, sf0001, name).repartitionByRange(4, order).sortWithinPartitions(order)
+        ordered.write.parquet(f"{root}/{name}.parquet")
     return root
 
 
 def same(a, b):
-    return sorted(map(tuple, a.select(*sorted(a.columns)).collect())) == sorted(map(tuple, b.select(*sorted(a.columns)).collect()))
+    left, right = (sorted(map(tuple, x.select(*sorted(a.columns)).collect())) for x in (a, b))
+    return left == right
+
+
+def decisions_from(spark, parts, sf0001):
+    tables = {"lineitem": table_stream(spark, parts, "lineitem", 1), "orders": table(spark, sf0001, "orders")}
+    return shape(tables, "decisions")
 
 
 def test_running_totals_over_many_batches(spark, parts, sf0001):
-    stream = shape({"lineitem": table_stream(spark, parts, "lineitem", 1), "orders": table(spark, sf0001, "orders")}, "decisions")
+    stream = decisions_from(spark, parts, sf0001)
     predictions = view(spark, sf0001, "predictions")
     path = run_to_table(jobs.decision_stream_totals(stream, predictions), "complete", "t")
     assert spark.read.parquet(path).select("epoch").distinct().count() > 1
@@ -36,13 +43,13 @@ def test_restart_continues_and_repeats_nothing(spark, parts, sf0001):
     predictions = view(spark, sf0001, "predictions")
     path, checkpoint = scratch_path(spark, "again"), scratch_path(spark, "again-checkpoint")
     for _ in range(2):
-        stream = shape({"lineitem": table_stream(spark, parts, "lineitem", 1), "orders": table(spark, sf0001, "orders")}, "decisions")
+        stream = decisions_from(spark, parts, sf0001)
         run_to_table(jobs.decision_stream_totals(stream, predictions), "complete", "t", path, checkpoint)
     assert same(latest_complete(spark, path), decision_stats(view(spark, sf0001, "decisions"), predictions))
 
 
 def test_officer_windows_equal_batch(spark, parts, sf0001):
-    stream = shape({"lineitem": table_stream(spark, parts, "lineitem", 1), "orders": table(spark, sf0001, "orders")}, "decisions")
+    stream = decisions_from(spark, parts, sf0001)
     path = run_to_table(jobs.officer_windows(stream, late="3000 days"), "update", "w")
     got = latest_update(spark, path, ["window_start", "officer_id"])
     assert same(got, jobs.officer_windows(view(spark, sf0001, "decisions")))
@@ -67,7 +74,8 @@ def test_late_rows_are_dropped(spark):
     schema = "SK_ID_CURR long, ts timestamp_ntz, SK_DPD int"
     for i, day in enumerate(("2024-03-01", "2024-06-01", "2024-03-02")):
         df = spark.createDataFrame([(1, day)], "SK_ID_CURR long, d string")
-        df.select("SK_ID_CURR", F.to_timestamp_ntz("d").alias("ts"), F.lit(3).alias("SK_DPD")).coalesce(1).write.mode("append").parquet(f"{root}/in/{i}")
+        row = df.select("SK_ID_CURR", F.to_timestamp_ntz("d").alias("ts"), F.lit(3).alias("SK_DPD"))
+        row.coalesce(1).write.parquet(f"{root}/in/{i}")
     for i in range(3):  # one query run per arrival
         stream = spark.readStream.schema(schema).parquet(f"{root}/in/[0-{i}]")
         run_to_table(jobs.delinquency_warnings(stream), "update", "l", f"{root}/out", f"{root}/checkpoint")

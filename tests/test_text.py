@@ -39,7 +39,8 @@ def test_value_text(spark, feature, value, text):
 
 
 def test_factor_line(spark):
-    df = spark.createDataFrame([("AMT_CREDIT", "Total Credit Amount", -0.12345, 10.0)], "feature string, display_name string, shap_value double, feature_value double")
+    schema = "feature string, display_name string, shap_value double, feature_value double"
+    df = spark.createDataFrame([("AMT_CREDIT", "Total Credit Amount", -0.12345, 10.0)], schema)
     line = df.select(factor_line(F.struct("*"))).first()[0]
     assert line == f"- Total Credit Amount = $10.00 (decreases risk by {0.12345:.4f})"
 
