@@ -16,15 +16,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot contract or customer is split even where this costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Without the Python call site of every column expression, wide plans build several times faster.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -38,6 +36,7 @@ def local_session(cores: str = "8", app: str = "creditloom", shuffle_partitions:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Without the Python call site of every column expression, wide plans build several times faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
