@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,10 @@ RUNTIME_CONF = {
 }
 
 
+# Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -27,14 +32,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", app: str = "creditloom", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-JVM session for tests and the benchmark."""
+def local_session(
+    cores: str = "8", app: str = "creditloom", shuffle_partitions: int = 8, scratch: str | None = None
+) -> SparkSession:
+    """A single-JVM session for tests and the benchmark, with its own scratch folder."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", scratch or tempfile.mkdtemp(prefix="creditloom-"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         # Without the Python call site of every column expression, wide plans build several times faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -47,16 +55,17 @@ def local_session(cores: str = "8", app: str = "creditloom", shuffle_partitions:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session that
-    names none gets a folder of its own; on a cluster that is an error, because
-    an executor cannot see the driver's disk.
+    The cluster names it in ``spark.checkpoint.dir``. A local session that names
+    none gets one folder of its own, a single machine being all there is; on a
+    cluster that is an error, because an executor cannot see the driver's disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="creditloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="creditloom-")
+        _OWN[context.applicationId] = root
     return root.rstrip("/")
 
 
