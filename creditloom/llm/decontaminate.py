@@ -87,9 +87,17 @@ class Index:
         self.length = np.array([len(x) for x in self.items], dtype=np.int64)
         self.budget = np.array([budget(n) for n in self.length], dtype=np.int64)
         self.bound = self.length - Q + 1 - self.budget * Q
+        # Steps of at least twice the budget: any passage's diagonals fit into one band of two steps.
         self.step = int(2 * self.budget.max(initial=0) + 1)
         self.short = [(i, x) for i, x in enumerate(self.items) if 0 < len(x) < Q]
 
+    @classmethod
+    def of(cls, fields: dict) -> Index:
+        """An index from the fields of another one, as they are sent to tasks."""
+        made = cls.__new__(cls)
+        made.__dict__.update(fields)
+        return made
+
     def bands(self, chars: np.ndarray) -> list[tuple[int, int]]:
         """(item, first diagonal) of every band that reaches its item's bound."""
         own = grams(chars)
@@ -182,15 +190,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = ["doc_id", "item_id", "start", "end", "edits"]
     out = None
     for index in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index.of(shared.value)
             for batch in batches:
                 ids = long_ids(batch, "doc_id").to_pylist()
                 rows = [
-                    (doc, shared.value.ids[i], start, end, edits)
+                    (doc, index.ids[i], start, end, edits)
                     for doc, text in zip(ids, texts(batch, "text"), strict=True)
-                    for i, start, end, edits in shared.value.matches(codes(text))
+                    for i, start, end, edits in index.matches(codes(text))
                 ]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
@@ -203,11 +212,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that repeat no item, with all their columns."""
     for index in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index.of(shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.matches(codes(t)) for t in texts(batch, "text")], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(codes(t)) for t in texts(batch, "text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

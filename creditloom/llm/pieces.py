@@ -143,12 +143,12 @@ def _ids_array(rows: list[array | None]) -> pa.Array:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """All columns but the text, which gives way to its ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.byte_ids))
     others = [c for c in docs.columns if c not in (text_col, out_col)]
     kind = T.StructType([docs.schema[c] for c in others]).add(out_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(Vocabulary(*shared.value))
         for batch in batches:
             ids = [None if t is None else codec.encode(t.decode("utf-8", "replace")) for t in texts(batch, text_col)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
@@ -159,12 +159,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """All columns, and the text that the ids spell."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.byte_ids))
     kept = [c for c in encoded.columns if c != out_col]
     kind = T.StructType([encoded.schema[c] for c in kept]).add(out_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = Codec(Vocabulary(*shared.value))
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(ids_col))
             out = [None if not r.is_valid else codec.decode(r.values.to_numpy(zero_copy_only=False).tolist()) for r in rows]
