@@ -13,9 +13,10 @@ The longest lists, among them those of passages that many documents share, are
 *Counting.* In each remaining list every class is compared with the smallest
 one: matching coordinates are counted first, then full sets are intersected.
 Confirmed links are merged into components. Where a list still holds classes of
-several components, its classes are compared in blocks inside tasks, leaving out
-pairs that already belong together; only new links leave a task, so a group of
-thousands of copies yields about as many links as members, never all pairs.
+several components, those outside its largest one are compared with all members,
+in blocks inside tasks, leaving out pairs that already belong together or meet in
+another list; only new links leave a task, so a group of thousands of copies
+yields about as many links as members, never all pairs.
 
 With 64 coordinates and 34 matches, a pair of exactly 75 % similarity stays
 unseen with a chance of about 2e-5, of 80 % with 1e-8; every link is confirmed
@@ -46,7 +47,7 @@ from creditloom.session import materialize
 
 COORDINATES, MATCHES = 64, 34
 PERCENT = 75
-BLOCK = 256
+BLOCK = 512
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -90,12 +91,12 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """``key`` and the whole set of every row."""
+    """``key`` and the whole set of every row, in ascending order of signed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text) for text in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), _lists(sets)], ["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), _lists([np.sort(s.view(np.int64)) for s in sets])], ["key", "shingles"])
 
     return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
 
@@ -138,43 +139,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def open_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists, one of each content, that hold classes of several components; with more than two members."""
+    """Lists, one of each content, that hold more than two classes and several components.
+
+    ``bulk`` is the component with most members in the list, ``n`` counts all members, ``few`` those outside it.
+    """
     own = posts.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
     mark = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
-    lists = own.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), mark.alias("mark"))
-    kept = lists.filter("n > 2 and low < high").groupBy("n", "mark").agg(F.min("value").alias("value"))
-    return own.join(kept.select("value", "n"), "value")
+    by_root = own.groupBy("value", "root").agg(F.count("*").alias("c"), mark.alias("mark"))
+    lists = by_root.groupBy("value").agg(
+        F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most"), F.sum("mark").alias("mark")
+    )
+    open_ = lists.filter("n > 2 and most.c < n").groupBy("n", "mark").agg(F.min("value").alias("value"), F.first("most").alias("most"))
+    kept = open_.select("value", "n", F.col("most.root").alias("bulk"), (F.col("n") - F.col("most.c")).alias("few"))
+    return own.join(kept, "value")
 
 
-def _blocks(lists: DataFrame) -> DataFrame:
-    """Each member once for every pair of blocks of its list that it belongs to."""
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), count).cast("int")
-    cells = lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    return cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+def _cells(lists: DataFrame) -> DataFrame:
+    """Members outside the bulk (``left``) beside all members, in blocks: every pair of blocks is one cell."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = lists.filter("root != bulk").select("value", "node", "root", F.lit(True).alias("left"), place("few").alias("i"), every("n").alias("j"))
+    right = lists.select("value", "node", "root", F.lit(False).alias("left"), every("few").alias("i"), place("n").alias("j"))
+    return left.union(right)
 
 
 def new_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of different components, as few as join them, from one pair of blocks."""
+    """Links between members of different components, as few as join them, from one cell.
+
+    Two classes may meet in several lists; they are compared in the list of
+    their smallest common posted value only.
+    """
     sig = np.stack(frame["sig"].to_list())
+    posted_here = np.stack([np.isin(s, p) for s, p in zip(sig, frame["posted"], strict=True)])
     sets = [np.asarray(s) for s in frame["shingles"]]
     size = np.array([len(s) for s in sets])
     _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
-    cross = (frame["i"] != frame["j"]).iat[0]
-    block = frame["mine"].to_numpy()
-    node, links = frame["node"].to_numpy(), []
-    for a in range(len(node)):
-        rest = np.arange(a + 1, len(node))
-        rest = rest[(root[rest] != root[a]) & (100 * np.minimum(size[rest], size[a]) >= PERCENT * np.maximum(size[rest], size[a]))]
-        if cross:
-            rest = rest[block[rest] != block[a]]
-        rest = rest[(sig[rest] == sig[a]).sum(axis=1) >= MATCHES]
-        for b in rest:
+    node, value, links = frame["node"].to_numpy(), frame["value"].iat[0], []
+    left = frame["left"].to_numpy(bool)
+    right = np.flatnonzero(~left)
+    for a in np.flatnonzero(left):
+        rest = right[(root[right] != root[a]) & (100 * np.minimum(size[right], size[a]) >= PERCENT * np.maximum(size[right], size[a]))]
+        same = sig[rest] == sig[a]
+        first = np.where(same & posted_here[rest] & posted_here[a], sig[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        rest = rest[(same.sum(axis=1) >= MATCHES) & (first == value)]
+        if not len(rest):
+            continue
+        flat = np.concatenate([sets[b] for b in rest])
+        at = np.minimum(np.searchsorted(sets[a], flat), size[a] - 1)
+        inter = np.add.reduceat(sets[a][at] == flat, np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+        for b in rest[similar(inter, size[a], size[rest])]:
             if root[a] != root[b]:
-                inter = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if similar(inter, size[a], size[b]):
-                    root[root == root[b]] = root[a]
-                    links.append((node[a], node[b]))
+                root[root == root[b]] = root[a]
+                links.append((node[a], node[b]))
     return pd.DataFrame(links, columns=["hub", "node"], dtype="int64")
 
 
@@ -182,21 +199,20 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node``, ``root`` of the classes that are linked with another one."""
     posts = materialize(posted(classes), "posts")
     pairs = materialize(star_pairs(posts), "pairs")
-    wanted = posts.select("node").distinct().join(classes, "node").select("node", "key", "doc_id", "sig")
+    prefixes = posts.groupBy("node").agg(F.collect_list("value").alias("posted"))
+    wanted = prefixes.join(classes, "node").select("node", "key", "doc_id", "sig", "posted")
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("doc_id").distinct()
     readable = docs.select(F.col("doc_id").cast("long"), "text")
     sets = full_sets(readable.join(ids, readable["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi"))
-    sets = materialize(sets.join(wanted.select("key", "node", "sig"), "key").dropDuplicates(["key"]).drop("key"), "sets")
+    sets = materialize(sets.join(wanted.select("key", "node", "sig", "posted"), "key").dropDuplicates(["key"]).drop("key"), "sets")
     links = materialize(confirmed(pairs, sets), "confirmed")
     roots = materialize(components(links, "hub", "node"), "roots")
-    lists = open_lists(posts, roots)
-    cells = _blocks(lists).select("value", "i", "j", "mine", "node", "root").join(sets, "node")
-    more = cells.groupBy("value", "i", "j").applyInPandas(new_links, "hub long, node long")
+    more = _cells(open_lists(posts, roots)).join(sets, "node").groupBy("value", "i", "j").applyInPandas(new_links, "hub long, node long")
     more = materialize(more, "more")
     if more.isEmpty():
         return roots
-    return components(links.union(more), "hub", "node")
+    return components(roots.select(F.col("root").alias("hub"), "node").union(more), "hub", "node")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
