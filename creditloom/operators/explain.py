@@ -154,7 +154,7 @@ def normalized_values(df: DataFrame, features: Sequence[str], key: str = KEY) ->
 def waterfall(explained: DataFrame, top: int = 6, key: str = KEY) -> DataFrame:
     """Steps from the base value over the strongest factors to the final log-odds."""
     shap = F.transform("explanation", lambda f: f["shap_value"])
-    rest = F.aggregate(F.slice(shap, top + 1, 100_000), F.lit(0.0), lambda a, x: a + x)
+    rest = F.aggregate(F.slice(shap, top + 1, F.greatest(F.size("explanation"), F.lit(1))), F.lit(0.0), lambda a, x: a + x)
 
     def step(kind: str, name: Column, label: Column, value: Column) -> Column:
         return F.struct(

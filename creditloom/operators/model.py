@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.risk import THRESHOLD, decision, prediction
 from creditloom.operators.clean import impute
 from creditloom.operators.order_stats import medians
-from creditloom.operators.sampling import fold_of
+from creditloom.operators.sampling import stratified_folds
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
 
@@ -114,8 +114,8 @@ def _cross_validator(estimator: Estimator, grid: list, folds: int, parallelism:
 def cross_validate(
     df: DataFrame, estimators: Mapping[str, Estimator], folds: int = 5, parallelism: int = 4
 ) -> DataFrame:
-    """Mean and deviation of the ROC-AUC over hash folds, best model first."""
-    data = with_balanced_weight(df).withColumn("fold", fold_of(KEY, folds))
+    """Mean and deviation of the ROC-AUC over stratified folds, best model first."""
+    data = with_balanced_weight(df).withColumn("fold", stratified_folds(df, folds, key=KEY))
     out = []
     for name, estimator in estimators.items():
         fitted = _cross_validator(estimator, ParamGridBuilder().build(), folds, parallelism).fit(data)
@@ -148,7 +148,7 @@ def random_search(
     seed: int = 42,
 ) -> tuple[Model, DataFrame]:
     """Best model of a seeded random search and the table of all draws."""
-    data = with_balanced_weight(df).withColumn("fold", fold_of(KEY, folds))
+    data = with_balanced_weight(df).withColumn("fold", stratified_folds(df, folds, key=KEY))
     settings = random_draws(estimator, grid, draws, seed)
     fitted = _cross_validator(estimator, settings, folds, parallelism).fit(data)
     rows = [

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from creditloom.operators.order_stats import exact_ranks
 
-# Multiplier and modulus of a full-period multiplicative generator.
-MULTIPLIER, MODULUS = 48271, 2147483647
+# Salts: samples and splits take one, folds another, so that neither follows from the other.
+SPLIT, FOLD = "split:", "fold:"
 PARTS = 1_000_000
 
 
-def shuffle_key(key: str | Column) -> Column:
-    """Arithmetic hash of an integer key; distinct keys below MODULUS never collide."""
+def shuffle_key(key: str | Column, salt: str = SPLIT) -> Column:
+    """40 bits of a salted digest of the key, unrelated to its order; few enough that a double holds order statistics of them exactly."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(key, F.lit(MODULUS)) * MULTIPLIER % MODULUS
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 10), 16, 10).cast("long")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: str = "SK_ID_CURR") -> DataFrame:
@@ -25,19 +25,18 @@ def sample_fraction(df: DataFrame, fraction: float, key: str = "SK_ID_CURR") ->
     return df.where(shuffle_key(key) % PARTS < round(fraction * PARTS))
 
 
-def sample_rows(df: DataFrame, n: int, key: str = "SK_ID_CURR", sorted_up_to: int = 100_000) -> DataFrame:
-    """Exactly n rows (or all): the first n in hash order.
-
-    A small sample is a top-n, kept per task and then merged. A large one is
-    cut at its n-th hash, so that it is never gathered in one place.
-    """
-    if n <= sorted_up_to:
-        return df.orderBy(shuffle_key(key), F.col(key)).limit(n)
+def sample_rows(df: DataFrame, n: int, key: str = "SK_ID_CURR") -> DataFrame:
+    """Exactly n rows (or all): those up to the n-th hash, so that even a large sample is never gathered in one place."""
     return df.where(_first_by_hash(df, {"all": shuffle_key(key)}, lambda have: min(n, have), key))
 
 
-def fold_of(key: str = "SK_ID_CURR", folds: int = 5) -> Column:
-    return (shuffle_key(key) % folds).cast("int")
+def stratified_folds(
+    df: DataFrame, folds: int = 5, label: str = "TARGET", key: str = "SK_ID_CURR", classes: tuple = (0, 1)
+) -> Column:
+    """Fold number of every row; each class is dealt out so that its folds differ by one row at most."""
+    of_class = {str(c): F.when(F.col(label) == c, shuffle_key(key, FOLD)) for c in classes}
+    beyond = [~_first_by_hash(df, of_class, lambda n, k=k: round(n * k / folds), key) for k in range(1, folds)]
+    return sum((b.cast("int") for b in beyond), F.lit(0)).cast("int")
 
 
 def _first_by_hash(df: DataFrame, hashes: Mapping[str, Column], take: Callable[[int], int], key: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.nulls import rounded
 from creditloom.functions.risk import sigmoid
 from creditloom.operators import evaluate
-from creditloom.operators.sampling import fold_of, stratified_split
+from creditloom.operators.sampling import stratified_folds, stratified_split
 from creditloom.plans.registry import query, r6, with_views
 from creditloom.sources.views import view
 
@@ -155,7 +155,13 @@ def sigmoid_of_logit(spark, sf_dir):
     return rounded(_scored(spark, sf_dir).select("id", sigmoid(logit).alias("probability")))
 
 
-_HASH = "((SK_ID_CURR % 2147483647) * 48271) % 2147483647"
+_HASH = "('0x' || substr(md5('split:' || SK_ID_CURR), 1, 10))::bigint"
+_FOLD = "('0x' || substr(md5('fold:' || SK_ID_CURR), 1, 10))::bigint"
+_FOLDS = " + ".join(
+    "case when row_number() over (partition by TARGET order by g, SK_ID_CURR)"
+    f" > round(count(*) over (partition by TARGET)*{k}/5e0) then 1 else 0 end"
+    for k in range(1, 5)
+)
 
 
 @query(
@@ -163,13 +169,13 @@ _HASH = "((SK_ID_CURR % 2147483647) * 48271) % 2147483647"
     with_views(
         ["application_train"],
         f"""select SK_ID_CURR, TARGET, row_number() over (partition by TARGET order by h, SK_ID_CURR)
- <= round_even(8e-1*count(*) over (partition by TARGET), 0) as is_train, cast(h%5 as int) as fold
- from (select *, {_HASH} as h from application_train)""",
+ <= round_even(8e-1*count(*) over (partition by TARGET), 0) as is_train, cast({_FOLDS} as int) as fold
+ from (select *, {_HASH} as h, {_FOLD} as g from application_train)""",
     ),
 )
 def train_test_split(spark, sf_dir):
     df = view(spark, sf_dir, "application_train").select("SK_ID_CURR", "TARGET")
-    return stratified_split(df).withColumn("fold", fold_of())
+    return stratified_split(df).withColumn("fold", stratified_folds(df))
 
 
 SAMPLE_CTE = f"""split as (select *, row_number() over (partition by TARGET order by h, SK_ID_CURR) as rn,

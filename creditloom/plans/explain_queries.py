@@ -139,12 +139,12 @@ def unpivoted_features(spark, sf_dir):
     with_views(
         APP,
         f"select feature, {r6('avg(abs(shap_value))', 'importance')} from long group by feature"
-        " order by avg(abs(shap_value)) desc limit 10",
+        " order by avg(abs(shap_value)) desc limit 30",
         CTES,
     ),
 )
 def global_importance(spark, sf_dir):
-    return rounded(explain.global_importance(contributions(spark, sf_dir), FEATURES, top=10))
+    return rounded(explain.global_importance(contributions(spark, sf_dir), FEATURES, top=30))
 
 
 @query(

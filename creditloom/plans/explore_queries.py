@@ -271,7 +271,7 @@ def class_balance(spark, sf_dir):
     return rounded(explore.class_ratio(_app(spark, sf_dir)))
 
 
-HASH = "((SK_ID_CURR % 2147483647) * 48271) % 2147483647"
+HASH = "('0x' || substr(md5('split:' || SK_ID_CURR), 1, 10))::bigint"
 
 
 @query(

@@ -16,7 +16,7 @@ from creditloom.operators import evaluate, model
 from creditloom.operators.explore import cumulative_importance
 from creditloom.operators.features.interactions import external_score_features, ratio_features
 from creditloom.operators.clean import clean_application
-from creditloom.operators.sampling import fold_of
+from creditloom.operators.sampling import stratified_folds
 from creditloom.operators.selection import select_by_correlation, vote
 from creditloom.operators.tree_explain import tree_contributions
 from creditloom.plans.registry import query
@@ -157,7 +157,7 @@ def additivity_gap(spark, sf_dir):
 def platt_calibration(spark, sf_dir):
     """Train on three folds, fit the sigmoid on one, report Brier scores on the last."""
     rows, features = _rows(spark, sf_dir)
-    data = model.assemble(rows, features).withColumn("fold", fold_of())
+    data = model.assemble(rows, features).withColumn("fold", stratified_folds(rows))
     booster = _learners()["Gradient Boosting"].fit(model.with_balanced_weight(data.where("fold < 3")))
     slope, intercept = model.fit_platt(model.margins(booster, data.where("fold = 3")))
     tested = model.apply_platt(model.margins(booster, data.where("fold = 4")), slope, intercept)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.operators.order_stats import exact_quantiles, exact_ranks, running_totals
-from creditloom.operators.sampling import sample_rows, stratified_split
+from creditloom.operators.sampling import sample_rows, shuffle_key, stratified_cut, stratified_folds, stratified_split
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +71,22 @@ def test_sample_size(spark):
     df = spark.range(1000).withColumnRenamed("id", "SK_ID_CURR")
     assert sample_rows(df, 100).distinct().count() == 100
     assert sample_rows(df, 5000).count() == 1000
-    small, cut = sample_rows(df, 100), sample_rows(df, 100, sorted_up_to=10)
-    assert sorted(small.collect()) == sorted(cut.collect())
-    assert sample_rows(df, 5000, sorted_up_to=10).count() == 1000
+
+
+def _spearman(low, high, spark):
+    keys = spark.range(low, high).select("id", shuffle_key("id").alias("h")).orderBy("h").toPandas()["id"]
+    return abs(np.corrcoef(np.arange(len(keys)), keys)[0, 1])
+
+
+def test_hash_order_is_not_key_order(spark):
+    assert _spearman(0, 15_000, spark) < 0.03
+    assert _spearman(100_001, 456_256, spark) < 0.02
+
+
+def test_folds_are_stratified_and_independent_of_the_split(spark):
+    df = spark.range(3000).select(F.col("id").alias("SK_ID_CURR"), (F.col("id") % 25 == 0).cast("int").alias("TARGET"))
+    rows = df.withColumn("fold", stratified_folds(df)).withColumn("train", stratified_cut(df, 0.8)).collect()
+    for label, size in ((0, 576), (1, 24)):
+        assert [sum(r.fold == k and r.TARGET == label for r in rows) for k in range(5)] == [size] * 5
+    shares = [np.mean([r.train for r in rows if r.fold == k]) for k in range(5)]
+    assert max(shares) - min(shares) < 0.1
