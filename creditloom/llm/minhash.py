@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = set_classes(rows)
     roots = link_classes(docs, classes)
     named = classes.join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that both sides of the join come from a shuffle that Spark can split for a large component.
+    ids = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     named = materialize(named.join(ids, "root").select("key", "root", "component_id"), "components")
     found = rows.drop("sig").join(named, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
