@@ -102,16 +102,15 @@ def applicant_history(
 
     ``defaults`` writes the texts shown for an open case; an empty text counts
     as missing, too. Decided and open predictions are joined apart: an inner join
-    can be split where one prediction has very many decisions, a left join cannot.
+    can be split where one prediction has very many decisions, a left join cannot. Open ones need no officer.
     """
     made = _predictions(predictions).withColumn("risk_label", risk_band(F.col("predicted_probability")))
     if applicant_id is not None:
         made = made.where(F.col("applicant_id") == applicant_id)
-    decided = made.join(_decisions(decisions), "prediction_id")
+    decided = made.join(_decisions(decisions), "prediction_id").join(_officers(users), "officer_id", "left")
     undecided = made.join(decisions.select("prediction_id").distinct(), "prediction_id", "left_anti")
     history = (
         decided.unionByName(undecided, allowMissingColumns=True)
-        .join(_officers(users), "officer_id", "left")
         .select(
             "prediction_id",
             "applicant_id",

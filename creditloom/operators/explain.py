@@ -39,6 +39,14 @@ def contribution(model: LinearModel, feature: str) -> Column:
     return F.coalesce(F.lit(model.coefficients[feature]) * (x - F.lit(model.means[feature])), F.lit(0.0))
 
 
+def probability(model: LinearModel) -> Column:
+    """Probability of a row; its features are columns of that row."""
+    margin = F.lit(model.base_value)
+    for c in model.coefficients:
+        margin = margin + contribution(model, c)
+    return sigmoid(margin)
+
+
 def contribution_columns(df: DataFrame, model: LinearModel, key: str = KEY) -> DataFrame:
     """Wide form: one contribution column per feature."""
     return df.select(key, *[contribution(model, c).alias(c) for c in model.coefficients])

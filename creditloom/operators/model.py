@@ -8,7 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -282,10 +288,15 @@ def project(df: DataFrame, weights: Mapping[str, float], key: str = KEY) -> Data
 
 
 def margins(model: Model, df: DataFrame) -> DataFrame:
-    """Log-odds of a fitted classifier, with key and label."""
-    p = vector_to_array("probability")[1]
-    safe = F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15))
-    return model.transform(df).select(KEY, LABEL, F.log(safe / (1 - safe)).alias("margin"), p.alias("p"))
+    """Log-odds of a fitted logistic or boosted classifier, with key and label.
+
+    They are the model's raw score, twice that for boosting; a forest's votes are not log-odds.
+    """
+    if not isinstance(model, (GBTClassificationModel, LogisticRegressionModel)):
+        raise TypeError(f"{type(model).__name__} has no log-odds")
+    raw = vector_to_array("rawPrediction")[1]
+    margin = raw * 2 if isinstance(model, GBTClassificationModel) else raw
+    return model.transform(df).select(KEY, LABEL, margin.alias("margin"), vector_to_array("probability")[1].alias("p"))
 
 
 def fit_platt(held_out: DataFrame) -> tuple[float, float]:

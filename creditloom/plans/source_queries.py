@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom.functions.nulls import rounded
-from creditloom.operators import encode, evaluate
+from creditloom.operators import encode, evaluate, explain
 from creditloom.operators.clean import candidate_columns, drop_empty_and_impute, flag_unknown_employment
 from creditloom.plans.evaluate_queries import CONF_CTE
 from creditloom.plans.explain_queries import COEFFICIENT_SQL, COEFFICIENTS, FEATURES, INTERCEPT
@@ -116,10 +116,11 @@ _DBLS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "OWN_CAR_AGE", "EXT_SO
     "S07",
     with_views(
         APP,
-        """select "column", t as narrow_type, case t when 'u8' then 'short' when 'u16' then 'int' when 'u32' then 'long'
- when 'i8' then 'byte' when 'i16' then 'short' when 'i32' then 'int' else 'float' end as spark_type from (
- select "column", case when lo>=0 then case when hi<255 then 'u8' when hi<65535 then 'u16' else 'u32' end
- when lo>-128 and hi<127 then 'i8' when lo>-32768 and hi<32767 then 'i16' else 'i32' end as t from rng
+        """select "column", t as narrow_type, case t when 'u8' then 'short' when 'u16' then 'int' when 'u32' then 'long' when 'u64' then 'long'
+ when 'i8' then 'byte' when 'i16' then 'short' when 'i32' then 'int' when 'i64' then 'long' else 'float' end as spark_type from (
+ select "column", case when lo>=0 then case when hi<255 then 'u8' when hi<65535 then 'u16' when hi<4294967295 then 'u32' else 'u64' end
+ when lo>-128 and hi<127 then 'i8' when lo>-32768 and hi<32767 then 'i16'
+ when lo>-2147483648 and hi<2147483647 then 'i32' else 'i64' end as t from rng
  union all select unnest([%s]), 'f32')""" % ", ".join(f"'{c}'" for c in _DBLS),
         [
             "rng as ("
@@ -313,19 +314,13 @@ def _score_sql(prefix):
 )
 def what_if_scores(spark, sf_dir):
     """Score before and after one scenario applied to everybody."""
-    from creditloom.functions.risk import sigmoid
-
     df = flag_unknown_employment(view(spark, sf_dir, "application_train"))
-    raw = [c for c in FEATURES if c in df.columns]
-    baseline = encode.baseline_means(df, raw).first().asDict()
-
-    def score(values):
-        terms = [F.lit(COEFFICIENTS[c]) * F.coalesce(values[c].cast("double"), F.lit(baseline[c])) for c in raw]
-        return sigmoid(F.lit(INTERCEPT) + sum(terms[1:], terms[0]))
-
-    before = {c: F.col(c) for c in raw}
-    after = before | {c: F.lit(v) for c, v in WHAT_IF.items()}
-    return rounded(df.select("SK_ID_CURR", score(before).alias("probability"), score(after).alias("new_probability")))
+    raw = {c: b for c, b in COEFFICIENTS.items() if c in df.columns}
+    model = explain.LinearModel(INTERCEPT, raw, encode.baseline_means(df, list(raw)).first().asDict())
+    updates = F.create_map(*[F.lit(x) for pair in WHAT_IF.items() for x in pair])
+    scenarios = df.select("SK_ID_CURR", explain.probability(model).alias("probability"), updates.alias("updates"))
+    changed = encode.apply_overrides(df, scenarios, keep=["probability"])
+    return rounded(changed.select("SK_ID_CURR", "probability", explain.probability(model).alias("new_probability")))
 
 
 _IMPUTED = ["AMT_INCOME_TOTAL", "AMT_ANNUITY", "CNT_FAM_MEMBERS", "OWN_CAR_AGE", "EXT_SOURCE_1", "EXT_SOURCE_2"]

@@ -5,46 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom.functions.nulls import rounded
-from creditloom.operators.encode import fit_baseline
-from creditloom.operators.explain import LinearModel
+from creditloom.operators.clean import MEDIAN_COLUMNS, flag_unknown_employment, impute
+from creditloom.operators.features.interactions import ratio_features
+from creditloom.operators.order_stats import medians
 from creditloom.plans.audit_queries import DECISION_STATS, JOINED_CTE, band_sql
-from creditloom.plans.explain_queries import COEFFICIENT_SQL, COEFFICIENTS, FEATURES, INTERCEPT
+from creditloom.plans.explain_queries import APP, CTES, scorecard
 from creditloom.plans.registry import query, r6, with_views
 from creditloom.sources.views import shape, table, view
 from creditloom.streaming import jobs
 from creditloom.streaming.tables import appended, latest_complete, latest_update, run_to_table, table_stream
 
-_RAW = [c for c in FEATURES if c not in ("CREDIT_INCOME_RATIO", "CREDIT_TERM")]
-
-
-def _cell(c):
-    if c in ("CNT_CHILDREN", "DAYS_BIRTH"):
-        return f"coalesce({c}, (select cast(trunc(avg({c})) as bigint) from application_train))"
-    if c == "DAYS_EMPLOYED":
-        return f"coalesce({c}, (select trunc(avg({c})) from application_train))"
-    return f"coalesce({c}, (select avg({c}) from application_train))"
-
-
-_MARGIN = f"{INTERCEPT}e0+" + "+".join(f"({COEFFICIENT_SQL[c]})*{_cell(c)}" for c in _RAW)
-
-
 @query(
     "T01",
     with_views(
-        ["application_train"],
-        f"""select SK_ID_CURR, {r6('p', 'probability')}, case when p>=15e-2 then 1 else 0 end as prediction,
- case when p>=15e-2 then 'Rejected' else 'Approved' end as decision, {band_sql('p')} as risk_label
- from (select SK_ID_CURR, 1/(1+exp(-({_MARGIN}))) as p from application_train)""",
+        APP,
+        f"""select SK_ID_CURR, {r6('probability')}, case when probability>=15e-2 then 1 else 0 end as prediction,
+ case when probability>=15e-2 then 'Rejected' else 'Approved' end as decision, {band_sql('probability')} as risk_label
+ from score""",
+        CTES,
     ),
 )
 def scored_stream(spark, sf_dir):
-    """Applicants arrive as a stream and are scored against the stored baseline."""
-    history = view(spark, sf_dir, "application_train")
-    baseline = fit_baseline(history, _RAW)
-    model = LinearModel(INTERCEPT, {c: COEFFICIENTS[c] for c in _RAW}, baseline.means)
+    """Applicants arrive as a stream and get the scores of ``linear_scores``."""
+    history = flag_unknown_employment(view(spark, sf_dir, "application_train"))
+    middle = medians(history, MEDIAN_COLUMNS)
+    model = scorecard(ratio_features(impute(history, middle)))
     tables = {"customer": table_stream(spark, sf_dir, "customer"), "nation": table(spark, sf_dir, "nation")}
     arriving = shape(tables, "application_train")
-    path = run_to_table(jobs.score_stream(arriving, model, baseline), "append", "scored-stream")
+    path = run_to_table(jobs.score_stream(arriving, model, middle), "append", "scored-stream")
     return rounded(appended(spark, path))
 
 

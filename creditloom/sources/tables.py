@@ -93,9 +93,19 @@ def table_shapes(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 # Limits of the narrowed integer types, (strict upper bound, type).
-UNSIGNED = [(255, "u8"), (65535, "u16"), (None, "u32")]
-SIGNED = [(127, 128, "i8"), (32767, 32768, "i16"), (None, None, "i32")]
-SPARK_TYPE = {"u8": "short", "u16": "int", "u32": "long", "i8": "byte", "i16": "short", "i32": "int", "f32": "float"}
+UNSIGNED = [(255, "u8"), (65535, "u16"), (4294967295, "u32"), (None, "u64")]
+SIGNED = [(127, 128, "i8"), (32767, 32768, "i16"), (2147483647, 2147483648, "i32"), (None, None, "i64")]
+SPARK_TYPE = {
+    "u8": "short",
+    "u16": "int",
+    "u32": "long",
+    "u64": "long",
+    "i8": "byte",
+    "i16": "short",
+    "i32": "int",
+    "i64": "long",
+    "f32": "float",
+}
 
 
 def narrow_type(low: int, high: int) -> str:

@@ -121,6 +121,9 @@ def test_wanted_columns_reach_the_reader(spark, tmp_path):
         (-128, 0, "i16"),
         (-1, 127, "i16"),
         (-32768, 0, "i32"),
+        (-1, 2147483647, "i64"),
+        (-2147483649, 0, "i64"),
+        (0, 4294967295, "u64"),
     ],
 )
 def test_narrow_limits(low, high, kind):
@@ -134,6 +137,11 @@ def test_narrow_keeps_values(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_narrow_keeps_values_beyond_32_bits(spark):
+    df = spark.createDataFrame([(-(2**40), 2**40), (5, 0)], "a long, b long")
+    assert sorted(map(tuple, tables.narrow(df).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_table_definition_follows_types(spark):
     df = spark.createDataFrame([(1, 2, 0.5, True, "x")], "id long, n int, x double, b boolean, s string")
     assert tables.create_table_ddl("t", df, "id") == (

@@ -194,6 +194,7 @@ def test_discriminant(training):
 def test_platt_on_held_out_rows(training, boosted):
     _, df = training
     scored = model.margins(boosted, model.assemble(df, list("abcd")))
+    assert scored.where("abs(1 / (1 + exp(-margin)) - p) > 1e-9").isEmpty()
     slope, intercept = model.fit_platt(scored)
     row = model.apply_platt(scored, slope, intercept).agg(F.avg("p_calibrated"), F.avg("TARGET")).first()
     assert slope > 0 and row[0] == pytest.approx(row[1], abs=1e-4)

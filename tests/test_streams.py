@@ -31,6 +31,23 @@ def decisions_from(spark, parts, sf0001):
     return shape(tables, "decisions")
 
 
+def test_stream_scores_equal_batch_over_many_batches(spark, sf0001):
+    from creditloom.operators.clean import MEDIAN_COLUMNS, flag_unknown_employment
+    from creditloom.operators.order_stats import medians
+    from creditloom.plans.explain_queries import linear_scores, scorecard, scorecard_rows
+
+    root = scratch_path(spark, "customers")
+    table(spark, sf0001, "customer").repartition(3).write.parquet(f"{root}/customer.parquet")
+    middle = medians(flag_unknown_employment(view(spark, sf0001, "application_train")), MEDIAN_COLUMNS)
+    source = {"customer": table_stream(spark, root, "customer", 1), "nation": table(spark, sf0001, "nation")}
+    stream = jobs.score_stream(shape(source, "application_train"), scorecard(scorecard_rows(spark, sf0001)), middle)
+    path = run_to_table(stream, "append", "scores")
+    got = spark.read.parquet(path)
+    assert got.select("epoch").distinct().count() == 3
+    wanted = ["SK_ID_CURR", "probability", "decision"]
+    assert same(rounded(got.select(*wanted)), linear_scores(spark, sf0001).select(*wanted))
+
+
 def test_running_totals_over_many_batches(spark, parts, sf0001):
     stream = decisions_from(spark, parts, sf0001)
     predictions = view(spark, sf0001, "predictions")
