@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
-SMALL = 200_000
+BRACKET = 200_000
 
 
 @dataclass
@@ -52,13 +52,13 @@ def exact_ranks(
     df: DataFrame,
     columns: Mapping[str, Column],
     position: Callable[[int], Sequence[float]],
-    small: int = SMALL,
+    small: int = BRACKET,
 ) -> dict[str, list[float | None]]:
     """Exact values at the positions ``position(n)`` of each column's n non-NULL values.
 
-    Fractional positions interpolate linearly. Up to ``small`` values the built-in
-    exact aggregate is used; beyond, only the values in a narrow bracket around
-    each position are grouped and ranked. Results are the same either way.
+    Fractional positions interpolate linearly. The bracket around each position
+    shrinks until it holds at most ``small`` rows, or the copies of values that
+    no sketch can part; the values inside are grouped and ranked.
     """
     names = list(columns)
     value = {c: columns[c].cast("double") for c in names}
@@ -72,40 +72,25 @@ def exact_ranks(
     positions = {c: list(position(stats[c]["n"])) if stats[c]["n"] else [] for c in names}
     found: dict[str, list[float | None]] = {c: [None] * len(position(1)) for c in names}
 
-    near = [c for c in names if 0 < stats[c]["n"] <= small]
-    if near:
-        aggs = [
-            F.percentile(value[c], F.array(*[F.lit(_share(p, stats[c]["n"])) for p in positions[c]])).alias(f"p{i}")
-            for i, c in enumerate(near)
-        ]
-        row = df.agg(*aggs).first()
-        found |= {c: [float(x) for x in row[f"p{i}"]] for i, c in enumerate(near)}
-
-    far = [c for c in names if stats[c]["n"] > small]
-    if far:
-        targets = {
-            (c, j): _Target(value[c], s["n"], pos, s["lo"], s["hi"], s["lo"], s["hi"], 0, s["n"])
-            for c in far
-            for s in [stats[c]]
-            for j, pos in enumerate(positions[c])
-        }
+    targets = {
+        (c, j): _Target(value[c], s["n"], pos, s["lo"], s["hi"], s["lo"], s["hi"], 0, s["n"])
+        for c, s in stats.items()
+        for j, pos in enumerate(positions[c])
+    }
+    if targets:
         _narrow(df, list(targets.values()), small)
         for (c, j), x in zip(targets, _pick(df, list(targets.values())), strict=True):
             found[c][j] = x
     return found
 
 
-def _share(pos: float, n: int) -> float:
-    return 0.0 if n == 1 else min(pos / (n - 1), 1.0)
-
-
 def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
-    """Shrink the brackets until each holds few rows or cannot shrink for one repeated value."""
+    """Shrink the brackets until each holds few rows or cannot shrink further.
+
+    Every round shrinks or settles each wide bracket, so the rounds end by themselves.
+    """
     settled: set[int] = set()
-    for _ in range(8):
-        wide = [t for t in targets if t.inside > small and t.lo < t.hi and id(t) not in settled]
-        if not wide:
-            return
+    while wide := [t for t in targets if t.inside > small and t.lo < t.hi and id(t) not in settled]:
         sketches = []
         for i, t in enumerate(wide):
             within = F.when(t.column.between(t.lo, t.hi), t.column)
@@ -160,7 +145,7 @@ def _pick(df: DataFrame, targets: list[_Target]) -> list[float]:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), small: int = SMALL
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float] = (0.5,), small: int = BRACKET
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of many columns; None for an empty column."""
     return exact_ranks(df, {c: F.col(c) for c in columns}, lambda n: [(n - 1) * p for p in probs], small)
@@ -176,10 +161,12 @@ def running_totals(
     """Inclusive running totals in the order of ``key``, computed range by range.
 
     ``key`` must be numeric and unique (group by it first), so that no bucket can
-    grow beyond its share. The bucket totals are a bounded table of ``buckets`` rows.
+    grow beyond its share. There are twice as many buckets as shuffle
+    partitions unless ``buckets`` says otherwise; what lies before each comes from
+    a window over one row per bucket and is joined.
     """
     spark = df.sparkSession
-    buckets = buckets or min(1000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     value = F.col(key).cast("double")
     cuts = [k / buckets for k in range(1, buckets)]
     sketch = df.agg(F.approx_percentile(value, F.array(*map(F.lit, cuts)), 10 * buckets).alias("q")).first()["q"] or []
@@ -190,20 +177,11 @@ def running_totals(
         keyed = keyed.withColumn("_bucket", F.col("_bucket").cast("int"))
     else:
         keyed = keyed.withColumn("_bucket", F.lit(0))
-    sums = keyed.groupBy("_bucket").agg(*[F.sum(c).alias(n) for n, c in totals.items()]).collect()
-    by_bucket = {r["_bucket"]: r for r in sums}
-    order = range(len(splits) - 1)
-    offsets = {n: [0] * len(order) for n in totals}
-    for n in totals:
-        seen = 0
-        for b in reversed(order) if descending else order:
-            offsets[n][b] = seen
-            seen += by_bucket[b][n] if b in by_bucket else 0
+    sums = keyed.groupBy("_bucket").agg(*[F.sum(c).alias(f"_before_{n}") for n, c in totals.items()])
+    ordered = Window.orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_bucket", *[F.coalesce(F.sum(f"_before_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals])
     sort = F.col(key).desc() if descending else F.col(key).asc()
     window = Window.partitionBy("_bucket").orderBy(sort).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return keyed.withColumns(
-        {
-            n: F.sum(c).over(window) + F.element_at(F.array(*map(F.lit, offsets[n])), F.col("_bucket") + 1)
-            for n, c in totals.items()
-        }
-    ).drop("_key", "_bucket")
+    run = keyed.withColumns({n: F.sum(c).over(window) for n, c in totals.items()}).join(offsets, "_bucket")
+    return run.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in totals}).drop("_key", *offsets.columns)
