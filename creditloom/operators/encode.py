@@ -49,25 +49,34 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIE
     """Sorted distinct values of each column, found in one pass.
 
     They become column names, so their number must fit a schema: more than
-    ``limit`` values is an error, never a silent cut.
+    ``limit`` values of one column is an error, never a silent cut.
     """
     found = (
         df.select(*[F.col(c).cast("string").alias(c) for c in columns])
         .unpivot([], list(columns), "column", "value")
         .where(F.col("value").isNotNull())
         .distinct()
-        .limit(limit + 1)
+        .limit(limit * len(columns) + 1)
         .collect()
     )
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories in {list(columns)}")
-    return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
+    known = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
+    wide = [c for c in columns if len(known[c]) > limit]
+    if wide:
+        raise ValueError(f"more than {limit} categories in {wide}")
+    return known
 
 
-def one_hot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """0/1 column per category plus one for a missing value, names cleaned."""
-    columns = [c for c in (columns or CATEGORICAL) if c in df.columns]
-    known = categories(df, columns) if columns else {}
+def one_hot(
+    df: DataFrame, columns: Sequence[str] | None = None, known: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """0/1 column per category plus one for a missing value, names cleaned.
+
+    ``known`` is a stored result of ``categories``: then no job runs, and a
+    value outside it has 0 everywhere.
+    """
+    columns = [c for c in (columns or known or CATEGORICAL) if c in df.columns]
+    if known is None:
+        known = categories(df, columns) if columns else {}
     kept = [F.col(c) for c in df.columns if c not in columns]
     dummies = []
     for c in columns:

@@ -223,3 +223,19 @@ def test_published_calibration_gap(spark, tmp_path):
     got = {r["stage"]: r["gap"] for r in rows.groupBy("stage").agg(gap).collect()}
     assert got["before"] == pytest.approx(0.037710, abs=5e-7)
     assert got["after"] == pytest.approx(0.127024, abs=5e-7)
+
+
+def test_one_hot_with_stored_categories(spark):
+    past = spark.createDataFrame([("x", "p"), ("y", None)], "a string, b string")
+    known = encode.categories(past, ["a", "b"])
+    new = spark.createDataFrame([("z", "p"), ("y", "q"), (None, None)], "a string, b string")
+    got = encode.one_hot(new, known=known)
+    assert got.columns == ["a_x", "a_y", "a_nan", "b_p", "b_nan"]
+    assert [tuple(r) for r in got.collect()] == [(0, 0, 0, 1, 0), (0, 1, 0, 0, 0), (0, 0, 1, 0, 1)]
+
+
+def test_category_limit_is_per_column(spark):
+    df = spark.createDataFrame([("x", "p"), ("y", "q")], "a string, b string")
+    assert encode.categories(df, ["a", "b"], limit=2) == {"a": ["x", "y"], "b": ["p", "q"]}
+    with pytest.raises(ValueError, match="more than 1 categories"):
+        encode.categories(df, ["a", "b"], limit=1)
