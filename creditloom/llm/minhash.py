@@ -155,13 +155,20 @@ def open_lists(posts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _cells(lists: DataFrame) -> DataFrame:
-    """Members outside the bulk (``left``) beside all members, in blocks: every pair of blocks is one cell."""
+    """Members outside the bulk (``left``) beside all members (``right``), in blocks: every pair of blocks is one cell.
+
+    A member outside the bulk is in one cell on both sides, and goes there as one row.
+    """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    left = lists.filter("root != bulk").select("value", "node", "root", F.lit(True).alias("left"), place("few").alias("i"), every("n").alias("j"))
-    right = lists.select("value", "node", "root", F.lit(False).alias("left"), every("few").alias("i"), place("n").alias("j"))
-    return left.union(right)
+    outside = F.col("root") != F.col("bulk")
+    placed = lists.select("*", outside.alias("outside"), place("few").alias("own_i"), place("n").alias("own_j"))
+    left = placed.filter("outside").select("*", F.col("own_i").alias("i"), every("n").alias("j"))
+    right = placed.select("*", every("few").alias("i"), F.col("own_j").alias("j")).filter("not outside or i != own_i")
+    return left.select("value", "node", "root", F.lit(True).alias("left"), (F.col("j") == F.col("own_j")).alias("right"), "i", "j").union(
+        right.select("value", "node", "root", F.lit(False).alias("left"), F.lit(True).alias("right"), "i", "j")
+    )
 
 
 def new_links(frame: pd.DataFrame) -> pd.DataFrame:
@@ -176,8 +183,7 @@ def new_links(frame: pd.DataFrame) -> pd.DataFrame:
     size = np.array([len(s) for s in sets])
     _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
     node, value, links = frame["node"].to_numpy(), frame["value"].iat[0], []
-    left = frame["left"].to_numpy(bool)
-    right = np.flatnonzero(~left)
+    left, right = frame["left"].to_numpy(bool), np.flatnonzero(frame["right"].to_numpy(bool))
     for a in np.flatnonzero(left):
         rest = right[(root[right] != root[a]) & (100 * np.minimum(size[right], size[a]) >= PERCENT * np.maximum(size[right], size[a]))]
         same = sig[rest] == sig[a]
