@@ -178,7 +178,7 @@ def new_links(frame: pd.DataFrame) -> pd.DataFrame:
     their smallest common posted value only.
     """
     sig = np.stack(frame["sig"].to_list())
-    posted_here = np.stack([np.isin(s, p) for s, p in zip(sig, frame["posted"], strict=True)])
+    posted_here = (frame["posted"].to_numpy("int64")[:, None] >> np.arange(COORDINATES)) & 1 == 1
     sets = [np.asarray(s) for s in frame["shingles"]]
     size = np.array([len(s) for s in sets])
     _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
@@ -206,7 +206,11 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     posts = materialize(posted(classes), "posts")
     pairs = materialize(star_pairs(posts), "pairs")
     prefixes = posts.groupBy("node").agg(F.collect_list("value").alias("posted"))
-    wanted = prefixes.join(classes, "node").select("node", "key", "doc_id", "sig", "posted")
+    # One bit for each coordinate whose value is posted.
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    bits = F.transform("sig", lambda v, k: F.when(F.array_contains("posted", v), bit(k)).otherwise(F.lit(0).cast("long")))
+    posted_bits = F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    wanted = prefixes.join(classes, "node").select("node", "key", "doc_id", "sig", posted_bits.alias("posted"))
     wanted = materialize(wanted, "wanted")
     ids = wanted.select("doc_id").distinct()
     readable = docs.select(F.col("doc_id").cast("long"), "text")
