@@ -8,9 +8,10 @@ overlapping bands of diagonals, each band twice as wide as the step; a band that
 reaches the bound is verified by banded alignment, which yields edits and span.
 
 ``k`` is a tenth of the item's length (RATE), reduced where the bound would fall
-below one q-gram. Letters A-Z are lowered and white space characters count as
-blanks on both sides; nothing else is changed, so spans are character offsets of
-the text.
+below one q-gram. Letters of every script are case-folded one by one (a letter
+whose folds are all longer than itself stays as it is) and white space characters count
+as blanks on both sides; no character is added or taken away, so spans are
+character offsets of the text.
 
 Documents are read whole in Arrow batches, long ones in overlapping stretches;
 no document moves. The items' index is sent to the tasks in blocks of at most
@@ -24,6 +25,7 @@ item found at several places yields a row for each.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,13 +42,25 @@ BLOCK_CHARS = 4_000_000
 STRETCH = 1 << 18
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of the rolling hash
-_BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+_BLANKS = "\t\n\r\x0b\x0c"
+
+
+def _folds() -> np.ndarray:
+    """The folded code point of every code point: Unicode's simple case folding."""
+    table = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for c in range(0x20000):  # fixed value: cased letters lie in the first two planes
+        table[c] = ord(next(f for f in (chr(c).casefold(), chr(c).lower(), chr(c)) if len(f) == 1))
+    table[[ord(c) for c in _BLANKS]] = ord(" ")
+    return table
+
+
+_FOLDS = _folds()
 
 
 def codes(text: bytes | None) -> np.ndarray:
-    """Code points with A-Z lowered and white space as blanks."""
-    folded = (text or b"").lower().translate(_BLANKS).decode("utf-8", "replace")
-    return np.frombuffer(folded.encode("utf-32-le"), dtype=np.uint32)
+    """Code points, case-folded one by one, with white space as blanks."""
+    chars = (text or b"").decode("utf-8", "replace").encode("utf-32-le")
+    return _FOLDS[np.frombuffer(chars, dtype=np.uint32)]
 
 
 def grams(chars: np.ndarray) -> np.ndarray:

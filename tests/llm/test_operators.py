@@ -451,3 +451,13 @@ def test_every_passage_within_the_budget_is_found():
         got = index.matches(decontaminate.codes(text.encode()))
         distance = plain_distance(item, text)
         assert bool(got) == (distance <= decontaminate.budget(len(item))) and all(g[3] == distance for g in got[:1])
+
+
+def test_capitals_of_every_script_are_no_edits(spark):
+    item = "L’été où l’élève dévoué répétait à la forêt, Ελλάδα στους δρόμους, Москва широкая река, œuvre naïve et çà et là"
+    text = f"ß İ \U0001f600 {item.upper()} ẞ"
+    benchmark = spark.createDataFrame([(1, item, 0)], "item_id long, text string, doc_id long")
+    found = decontaminate.matches(docs(spark, [(1, text), (2, item.swapcase())]), benchmark).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.edits) for r in found) == [(1, 6, 6 + len(item), 0), (2, 0, len(item), 0)]
+    assert decontaminate.clean(docs(spark, [(1, text), (3, "other")]), benchmark).collect()[0].doc_id == 3
+    assert decontaminate.codes("ẞᾈİß".encode()).tolist() == [ord(c) for c in "ßᾀİß"]
