@@ -4,8 +4,9 @@ A passage of a document that differs from a benchmark item of ``m`` characters
 in at most ``k`` edits shares at least ``m - q + 1 - k*q`` character q-grams with
 it, and all of them lie on diagonals (document place minus item place) at most
 ``k`` apart from the passage's own. Shared q-grams are counted per item in
-overlapping bands of diagonals, each band twice as wide as the step; a band that
-reaches the bound is verified by banded alignment, which yields edits and span.
+overlapping bands of diagonals, each band twice as wide as the item's step; the
+windows of the bands that reach the bound are merged and aligned, which yields
+edits and spans.
 
 ``k`` is a tenth of the item's length (RATE), reduced where the bound would fall
 below one q-gram. Letters of every script are case-folded one by one (a letter
@@ -20,7 +21,8 @@ however large the benchmark is.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than
 a q-gram must occur unchanged; repeated items each yield their own matches; an
-item found at several places yields a row for each.
+item found at several places yields a row for each: the place of fewest edits
+first, then the best of what does not overlap the places taken.
 """
 
 from __future__ import annotations
@@ -101,8 +103,8 @@ class Index:
         self.length = np.array([len(x) for x in self.items], dtype=np.int64)
         self.budget = np.array([budget(n) for n in self.length], dtype=np.int64)
         self.bound = self.length - Q + 1 - self.budget * Q
-        # Steps of at least twice the budget: any passage's diagonals fit into one band of two steps.
-        self.step = int(2 * self.budget.max(initial=0) + 1)
+        # Steps of twice the item's budget: any passage's diagonals fit into one band of two steps.
+        self.step = 2 * self.budget + 1
         self.short = [(i, x) for i, x in enumerate(self.items) if 0 < len(x) < Q]
 
     @classmethod
@@ -130,7 +132,7 @@ class Index:
         keep = full[item]
         item, place = item[keep], place[keep]
         diagonal = np.repeat(at, many)[keep] - place
-        band = diagonal // self.step
+        band = diagonal // self.step[item]
         low = band.min(initial=0) - 1
         span = band.max(initial=0) - low + 2
         key = np.concatenate([item * span + band - low, item * span + band - 1 - low])
@@ -138,47 +140,68 @@ class Index:
         found, counts = np.unique(key, return_counts=True)
         owner = found // span
         good = counts >= self.bound[owner]
-        return [(int(i), int(b)) for i, b in zip(owner[good], (found[good] % span + low) * self.step, strict=True)]
+        owner, band = owner[good], found[good] % span + low
+        return list(zip(owner.tolist(), (band * self.step[owner]).tolist(), strict=True))
 
-    def matches(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of every verified place; of overlapping places of an item the best."""
-        found = []
+    def windows(self, chars: np.ndarray) -> dict[int, list[list[int]]]:
+        """Merged windows by item: a passage within the budget lies within one of them."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        reach = int(self.length.max(initial=0) + self.budget.max(initial=0))
         for begin in range(0, max(1, len(chars)), STRETCH):
-            reach = int(self.length.max(initial=0) + self.budget.max(initial=0))
-            part = chars[max(0, begin - reach) : begin + STRETCH]
             shift = max(0, begin - reach)
+            part = chars[shift : begin + STRETCH]
             for i, diagonal in self.bands(part):
-                k = int(self.budget[i])
+                k, first = int(self.budget[i]), diagonal + shift
                 # A band covers two steps of diagonals; the passage starts within k of them.
-                low = max(0, diagonal - k)
-                high = min(len(part), diagonal + 2 * self.step + k + int(self.length[i]))
-                hit = align(self.items[i], part[low:high], k)
-                if hit:
-                    found.append((i, hit[0] + low + shift, hit[1] + low + shift, hit[2]))
+                high = first + 2 * int(self.step[i]) + k + int(self.length[i])
+                found.setdefault(i, []).append((max(0, first - k), min(len(chars), high)))
             for i, x in self.short:
                 places = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(part, len(x)).__eq__(x).all(axis=1)) if len(part) >= len(x) else []
-                found += [(i, int(p) + shift, int(p) + shift + len(x), 0) for p in places]
-        best: list[tuple[int, int, int, int]] = []
-        for i, start, end, edits in sorted(set(found), key=lambda f: (f[0], f[3], f[1], f[2])):
-            if not any(i == o and start < e and s < end for o, s, e, _ in best):
-                best.append((i, start, end, edits))
-        return best
+                found.setdefault(i, []).extend((int(p) + shift, int(p) + shift + len(x)) for p in places)
+        merged = {}
+        for i, spans in sorted(found.items()):
+            out: list[list[int]] = []
+            for low, high in sorted(spans):
+                # Windows that only touch share no passage.
+                if out and low < out[-1][1]:
+                    out[-1][1] = max(out[-1][1], high)
+                else:
+                    out.append([low, high])
+            merged[i] = out
+        return merged
+
+    def matches(self, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of every verified place; of overlapping places of an item the best."""
+        return [
+            (i, start + low, end + low, edits)
+            for i, spans in self.windows(chars).items()
+            for low, high in spans
+            for start, end, edits in places(self.items[i], chars[low:high], int(self.budget[i]))
+        ]
 
 
-def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """Best place of the item in the text within ``k`` edits: (start, end, edits)."""
+def places(item: np.ndarray, text: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the item's places in the text within ``k`` edits: the best, then the best beside those taken."""
     ends = _last_row(item, text, free_start=True)
-    end = int(ends.argmin())
-    edits = int(ends[end])
-    if edits > k:
-        return None
-    back = _last_row(item[::-1], text[max(0, end - len(item) - k) : end][::-1], free_start=False)
-    starts = np.flatnonzero(back == back.min())
-    return end - int(starts[0]), end, edits
+    found, free = [], [(0, len(text))]
+    while free:
+        low, high = free.pop()
+        end = low + int(ends[low : high + 1].argmin())
+        edits = int(ends[end])
+        if edits > k:
+            continue
+        back = _last_row(item[::-1], text[max(low, end - len(item) - k) : end][::-1], free_start=False)
+        start = end - int(back.argmin())
+        found.append((start, end, edits))
+        # Places that end farther behind than this begin behind the taken one anyway.
+        near = min(high, end + len(item) + k)
+        ends[end : near + 1] = _last_row(item, text[end:near], free_start=True)
+        free += [(low, start), (end, high)]
+    return sorted(found)
 
 
 def _last_row(item: np.ndarray, text: np.ndarray, free_start: bool) -> np.ndarray:
-    """Edit distances of the item to text passages by their end; the text is no wider than the band and the item."""
+    """Edit distances of the item to text passages by their end."""
     width = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, dtype=np.int64) if free_start else width.copy()
     for i, c in enumerate(item):

@@ -461,3 +461,25 @@ def test_capitals_of_every_script_are_no_edits(spark):
     assert sorted((r.doc_id, r.start, r.end, r.edits) for r in found) == [(1, 6, 6 + len(item), 0), (2, 0, len(item), 0)]
     assert decontaminate.clean(docs(spark, [(1, text), (3, "other")]), benchmark).collect()[0].doc_id == 3
     assert decontaminate.codes("ẞᾈİß".encode()).tolist() == [ord(c) for c in "ßᾀİß"]
+
+
+def test_adjacent_copies_beside_a_long_item_are_all_found():
+    r = random.Random(9)
+    long = prose("long", 400)
+    for trial in range(25):
+        item = prose(trial + 70, 16)
+        copies = [list(item) for _ in range(r.randrange(2, 6))]
+        for own in copies:
+            for _ in range(r.randrange(decontaminate.budget(len(item)) + 1)):
+                at = r.randrange(len(own))
+                own[at : at + 1] = r.choice([[], ["x"], [own[at], "y"]])
+        text = prose(trial + 30, 5) + r.choice(["", " "]).join("".join(own) for own in copies) + prose(trial + 40, 5)
+        k = decontaminate.budget(len(item))
+        index = decontaminate.Index([1, 2], [decontaminate.codes(long.encode()), decontaminate.codes(item.encode())])
+        found = sorted(m[1:] for m in index.matches(decontaminate.codes(text.encode())))
+        assert len(found) >= len(copies) - 1 and all(plain_distance(item, text[s:e]) == edits <= k for s, e, edits in found)
+        cuts = [0, *(x for s, e, _ in found for x in (s, e)), len(text)]
+        assert cuts == sorted(cuts) and all(plain_distance(item, text[a:b]) > k for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+    middle = "qq" + item[2:]
+    found = index.matches(decontaminate.codes(f"{item} {middle} {item}".encode()))
+    assert [m[3] for m in found if m[0] == 1] == [0, 2, 0]
