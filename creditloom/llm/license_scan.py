@@ -5,11 +5,13 @@ a bounded number of edits: a notice is split into ``edits + 1`` pieces, of which
 at least one must occur unchanged (pigeonhole); every occurrence of a piece
 opens a window, overlapping windows of a notice are merged, and only these
 windows go through the regex library's bounded-error matching, which reports
-the span and the edits.
+the span and the edits of the best match; the parts in front of and behind it
+are searched in the same way.
 
 Whole texts are read, as UTF-8 bytes with A-Z lowered, in Arrow batches; no row
 moves. A null text is an empty one: no words, no labels, score 0. Spans are
-character offsets. A notice that several spans match yields every one of them.
+character offsets. A notice that several spans match yields every one of them;
+of overlapping spans the best.
 """
 
 from __future__ import annotations
@@ -111,9 +113,16 @@ class NoticeFinder:
         """(label, start, end, edits) of every verified match, by notice and place."""
         out = []
         for k, spans in self.windows(low).items():
-            for begin, end in spans:
-                for m in self.patterns[k].finditer(low, begin, min(end, len(low))):
-                    out.append((self.notices[k].label, m.start(), m.end(), sum(m.fuzzy_counts)))
+            notice = self.notices[k]
+            found, free = [], [(begin, min(end, len(low))) for begin, end in spans]
+            while free:
+                begin, end = free.pop()
+                m = self.patterns[k].search(low, begin, end) if end - begin >= len(notice.text) - notice.edits else None
+                # The best match of a part hides weaker ones on both of its sides.
+                if m and m.end() > m.start():
+                    found.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    free += [(begin, m.start()), (m.end(), end)]
+            out += sorted(found, key=lambda s: s[1])
         return out
 
     def score(self, label: str, edits: int) -> float:

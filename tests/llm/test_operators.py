@@ -483,3 +483,23 @@ def test_adjacent_copies_beside_a_long_item_are_all_found():
     middle = "qq" + item[2:]
     found = index.matches(decontaminate.codes(f"{item} {middle} {item}".encode()))
     assert [m[3] for m in found if m[0] == 1] == [0, 2, 0]
+
+
+def test_misspelt_notices_side_by_side_are_all_found():
+    label = "all rights reserved"
+    finder = license_scan.NoticeFinder(((label, "reserved", 2),))
+    assert finder.find("all rightz reserved / all rights reserved") == [("reserved", 0, 19, 1), ("reserved", 22, 41, 0)]
+    r = random.Random(12)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            own = list(label)
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(own))
+                own[at : at + 1] = r.choice([[], ["z"], [own[at], "z"]])
+            parts.append("".join(own))
+        text = r.choice(["", " ", " / ", "\n(c) "]).join(parts)
+        found = finder.find(text)
+        assert all(plain_distance(label, text[s:e]) <= edits <= 2 for _, s, e, edits in found)
+        cuts = [0, *(x for _, s, e, _ in found for x in (s, e)), len(text)]
+        assert cuts == sorted(cuts) and all(plain_distance(label, text[a:b]) > 2 for a, b in zip(cuts[::2], cuts[1::2], strict=True))
