@@ -20,8 +20,10 @@ Entropy cannot tell an advert or menu with a new text on every page from an
 article, so markup decides first: elements that name their role (menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles) have no
 importance, and text straight below an article or main element has full
-importance. The tree decides the rest: classed boxes inside an article, and whole
-pages without such an element.
+importance. A class or id names a role only as a whole and only on a container;
+one that merely holds such a word leaves its element to the tree, and so does
+the id of a section or list item in an article. The tree decides the rest:
+classed boxes inside an article, and whole pages without such an element.
 
 Counting is by partial sums on (host, path, text hash), so a hot host is no
 single task's work; each host's few unimportant paths are joined to those pages
@@ -63,6 +65,13 @@ ROLE_WORDS = frozenset(
     " notifications overlay pagination pager popup promo promotion promoted related replies reply respond search share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# Words that say where or how large, beside a role word in the same name (share-buttons, site-header).
+PART_WORDS = frozenset(
+    "area bar bars block bottom box button buttons container global group icons inner item items link links list main page panel primary"
+    " secondary section site slot strip top unit wrap wrapper zone".split()
+)
+# Elements that a class or id can give a role; headings, paragraphs and inline elements are text of what they stand in.
+CONTAINERS = frozenset("div section ul ol li dl table tbody tr td fieldset figure details center".split())
 ARIA = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation note search status".split())
 CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -82,6 +91,12 @@ PLAIN = frozenset(
 DROPPED, KEPT, OPEN = 0, 1, 2
 
 
+def names_role(name: str) -> bool:
+    """Whether a whole class or id names a role, and not only holds a role's word (with-sidebar, related-work)."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in ROLE_WORDS for w in words) and all(w in ROLE_WORDS or w in PART_WORDS for w in words)
+
+
 def digest(*parts_of: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts_of).encode("utf-8", "replace")) - (1 << 63)
 
@@ -91,7 +106,7 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.words, self.classes = [-1], ["#page"], [frozenset()], [""]
+        self.parent, self.tag, self.role, self.classes = [-1], ["#page"], [False], [""]
         self.holds_main = [False]
         self.stack = [0]
         self.children: dict[int, list[str]] = {}
@@ -133,8 +148,12 @@ class Page(HTMLParser):
         classes = (given.get("class") or "").lower()
         self.parent.append(self.stack[-1])
         self.tag.append(tag)
-        words = re.split(r"[^a-z]+", f"{classes} {(given.get('id') or '').lower()}")
-        self.words.append(frozenset(words) | ({"aria"} if (given.get("role") or "").lower() in ARIA else frozenset()))
+        names = classes.split()
+        if not (tag in ("section", "li") or "section" in names) or not any(self.tag[e] in MAIN for e in self.stack):
+            # Ids of sections and items of an article are made from their headings.
+            names += (given.get("id") or "").lower().split()
+        named = tag in CONTAINERS and any(map(names_role, names))
+        self.role.append(named or tag in ROLES or (given.get("role") or "").lower() in ARIA)
         self.classes.append(" ".join(sorted(re.sub(r"\d+", "#", classes).split())))
         self.holds_main.append(False)
         self.children.setdefault(self.stack[-1], []).append(tag)
@@ -165,7 +184,7 @@ def read_page(html: str) -> list[tuple[int, int, int, int, int, str]]:
     dropped, path, main, plain = [False] * count, [0] * count, [""] * count, [False] * count
     for e in range(1, count):
         up, tag = page.parent[e], page.tag[e]
-        role = (tag in ROLES or "aria" in page.words[e] or not page.words[e].isdisjoint(ROLE_WORDS)) and tag not in ("html", "body")
+        role = page.role[e] and tag not in ("html", "body")
         dropped[e] = dropped[up] or tag in SILENT or role and not page.holds_main[e]
         path[e] = digest(str(path[up]), tag, page.classes[e])
         main[e] = "" if dropped[e] else tag if tag == "article" or tag == "main" and main[up] != "article" else main[up]

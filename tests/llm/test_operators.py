@@ -503,3 +503,12 @@ def test_misspelt_notices_side_by_side_are_all_found():
         assert all(plain_distance(label, text[s:e]) <= edits <= 2 for _, s, e, edits in found)
         cuts = [0, *(x for _, s, e, _ in found for x in (s, e)), len(text)]
         assert cuts == sorted(cuts) and all(plain_distance(label, text[a:b]) > 2 for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+
+
+def test_role_words_inside_other_names_drop_no_text(spark):
+    article = """<body><article><h1 id="comments">A</h1><h2 id="login-form">B</h2><p class="notice">C <span class="comment">D</span></p>
+<section id="discussion"><h2 id="search">E</h2><p>F</p></section><section id="related-work"><p>G</p></section><div class="long-form"><p>H</p></div>
+<div class="share-buttons">x</div><ul id="related"><li>x</ul><div class="text ad">x</div></article><div id="sidebar">x</div></body>"""
+    wrapped = '<body><div id="site-header">x</div><div class="content with-sidebar"><p>A</p></div><div class="sidebar"><p>x</p></div></body>'
+    got = text_of(spark, [(1, "http://a.com/1", article), (2, "http://b.com/1", wrapped)])
+    assert got[1].split() == list("ABCDEFGH") and got[2] == "A"
