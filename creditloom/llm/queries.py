@@ -17,6 +17,7 @@ from creditloom.llm import (
     nearest,
     pieces,
     quality,
+    resampling,
     sharding,
     token_counts,
     url_filter,
@@ -182,3 +183,52 @@ def op9_piece_codec(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     """Every place where a document repeats a benchmark item."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CRC = """
+crc_bits(t) as (select list_transform(range(256), lambda v: list_reduce(range(8), lambda a, b:
+    case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, v)))"""
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, byte by byte through the usual table (column t of crc_bits)."""
+    hexed = f"hex(encode({text}))"
+    codes = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::bigint)"
+    step = "xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce({codes}, lambda a, b: {step}, 4294967295), 4294967295)"
+
+
+OP11_SQL = rf"""
+with {_CRC},
+rows as (select doc_id, text, false as wanted from documents union all select null, text, true from benchmark),
+words as (
+  select row_number() over () as rn, doc_id, wanted,
+    list_filter(string_split_regex(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from rows),
+grams as (
+  select rn, wanted, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as g from words),
+sums as (select g, {_crc_sql("g")} % 10000 as b from (select distinct g from grams), crc_bits),
+hits as (select rn, wanted, b from grams join sums using (g)),
+counts as (select b, count(*) filter (not wanted) as s, count(*) filter (wanted) as t from hits group by b),
+totals as (select sum(s)::double as s, sum(t)::double as t from counts),
+gain as (
+  select b, floor(1000e0 * ln(((counts.t + 1)::double * (totals.s + 10000e0))
+    / ((counts.s + 1)::double * (totals.t + 10000e0))))::bigint as gain from counts, totals),
+weights as (
+  select rn, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+  from hits join gain using (b) where not wanted group by rn),
+scored as (
+  select words.doc_id, len(words.w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000e0 * ln(-ln((('0x' || substr(sha256('7:' || words.doc_id), 1, 8))::bigint + 5e-1) / 4294967296e0)))::bigint as score
+  from words left join weights using (rn) where not words.wanted),
+ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_words >= 20)
+select scored.doc_id, n_features, weight, score, case when 100 * rank <= 25 * n - (25 * n) % 100 then rank end as rank
+from scored left join ranked using (doc_id)
+"""
+
+
+@query(OP11_SQL)
+def op11_importance_resampling(spark, sf_dir):
+    """Weight, score and rank of every document, drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
