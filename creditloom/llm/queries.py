@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm import (
     decontaminate,
+    exact_dedup,
     html_tree,
     license_scan,
     minhash,
@@ -232,3 +233,21 @@ from scored left join ranked using (doc_id)
 def op11_importance_resampling(spark, sf_dir):
     """Weight, score and rank of every document, drawn towards the benchmark's words."""
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with bare as (
+  select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256
+  from documents),
+best as (
+  select text_sha256, count(*) as group_size, arg_min(doc_id, (-points, doc_id)) as keep_id from bare group by text_sha256)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from bare join best using (text_sha256)
+"""
+
+
+@query(OP12_SQL)
+def op12_exact_dedup(spark, sf_dir):
+    """Group and winner of every document; every second one, by a hash of its id, counts as history."""
+    historical = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), historical)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
