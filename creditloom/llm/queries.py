@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom.llm import (
     decontaminate,
+    dialogue_repair,
     exact_dedup,
     html_tree,
     license_scan,
@@ -251,3 +252,10 @@ def op12_exact_dedup(spark, sf_dir):
     historical = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), historical)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op13_dialogue_repair(spark, sf_dir):
+    """Cheapest repair of every conversation after planted damage."""
+    damaged = dialogue_repair.damage(table(spark, sf_dir, "conversations"))
+    return dialogue_repair.repair(damaged, dropped=F.col("dropped"))
