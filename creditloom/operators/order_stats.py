@@ -32,6 +32,7 @@ class _Target:
     highest: float
     below: int = 0
     inside: int = 0
+    settled: bool = False
 
     @property
     def first(self) -> int:
@@ -48,6 +49,16 @@ class _Target:
         return a if a == b else a + (b - a) * (self.pos - self.first)
 
 
+@dataclass(frozen=True)
+class Rank:
+    """Exact value at a position, and how many of the column's n values lie below its first value or equal it."""
+
+    value: float
+    below: int
+    at: int
+    n: int
+
+
 def exact_ranks(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -57,8 +68,23 @@ def exact_ranks(
     """Exact values at the positions ``position(n)`` of each column's n non-NULL values.
 
     Fractional positions interpolate linearly. The bracket around each position
-    shrinks until it holds at most ``small`` rows, or the copies of values that
-    no sketch can part; the values inside are grouped and ranked.
+    shrinks until it holds at most ``small`` rows or two values at most; the
+    values inside are grouped and ranked.
+    """
+    found = ranks(df, columns, dict.fromkeys(columns, position), small)
+    return {c: [None if r is None else r.value for r in of_column] for c, of_column in found.items()}
+
+
+def ranks(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    positions: Mapping[str, Callable[[int], Sequence[float]]],
+    small: int = BRACKET,
+) -> dict[str, list[Rank | None]]:
+    """Like ``exact_ranks`` with positions of their own for each column, and the counts around each value.
+
+    All positions of all columns share their passes: one for the sizes, two for
+    every round of narrowing (none where a column has at most ``small`` rows), one for the values.
     """
     names = list(columns)
     value = {c: columns[c].cast("double") for c in names}
@@ -69,13 +95,13 @@ def exact_ranks(
         ]
     ).first()
     stats = {c: head[f"s{i}"] for i, c in enumerate(names)}
-    positions = {c: list(position(stats[c]["n"])) if stats[c]["n"] else [] for c in names}
-    found: dict[str, list[float | None]] = {c: [None] * len(position(1)) for c in names}
+    wanted = {c: list(positions[c](stats[c]["n"])) if stats[c]["n"] else [] for c in names}
+    found: dict[str, list[Rank | None]] = {c: [None] * len(positions[c](1)) for c in names}
 
     targets = {
         (c, j): _Target(value[c], s["n"], pos, s["lo"], s["hi"], s["lo"], s["hi"], 0, s["n"])
         for c, s in stats.items()
-        for j, pos in enumerate(positions[c])
+        for j, pos in enumerate(wanted[c])
     }
     if targets:
         _narrow(df, list(targets.values()), small)
@@ -85,12 +111,12 @@ def exact_ranks(
 
 
 def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
-    """Shrink the brackets until each holds few rows or cannot shrink further.
+    """Shrink the brackets until each holds few rows or two values at most.
 
-    Every round shrinks or settles each wide bracket, so the rounds end by themselves.
+    A sketch cannot part a bracket whose ends are very frequent; then the ends
+    are cut off by their exact counts, so every round shrinks each wide bracket.
     """
-    settled: set[int] = set()
-    while wide := [t for t in targets if t.inside > small and t.lo < t.hi and id(t) not in settled]:
+    while wide := [t for t in targets if t.inside > small and not t.settled]:
         sketches = []
         for i, t in enumerate(wide):
             within = F.when(t.column.between(t.lo, t.hi), t.column)
@@ -109,20 +135,63 @@ def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
                 for i, (t, lo, hi) in enumerate(tried)
             ]
         ).first()
+        stuck = []
         for i, (t, lo, hi) in enumerate(tried):
             before = (t.lo, t.hi, t.below, t.inside)
             t.lo, t.hi, t.below, t.inside = lo, hi, counts[f"c{i}"]["below"], counts[f"c{i}"]["inside"]
             if not t.holds():  # the sketch missed: keep the bracket known to hold the rank
                 t.lo, t.hi, t.below, t.inside = before
-            if (t.lo, t.hi) == before[:2]:
-                settled.add(id(t))
+            if t.lo == t.hi:
+                t.settled = True
+            elif (t.lo, t.hi) == before[:2]:
+                stuck.append(t)
+        if stuck:
+            _cut_ends(df, stuck)
+
+
+def _cut_ends(df: DataFrame, targets: list[_Target]) -> None:
+    """Take the ends of each bracket apart from what lies between them."""
+    parts = df.agg(
+        *[
+            F.struct(
+                F.count_if(t.column == t.lo).alias("lows"),
+                F.count_if(t.column == t.hi).alias("highs"),
+                F.min(F.when(t.column > t.lo, t.column)).alias("above"),
+                F.max(F.when(t.column < t.hi, t.column)).alias("under"),
+            ).alias(f"e{i}")
+            for i, t in enumerate(targets)
+        ]
+    ).first()
+    straddling = []
+    for i, t in enumerate(targets):
+        e = parts[f"e{i}"]
+        between = t.inside - e["lows"] - e["highs"]
+        first, last = t.first - t.below, t.last - t.below
+        if last < e["lows"]:
+            t.hi, t.inside, t.settled = t.lo, e["lows"], True
+        elif first < e["lows"]:  # the last copy of the low end and the value above it
+            t.hi, t.settled = e["above"], True
+        elif first >= e["lows"] + between:
+            t.lo, t.below, t.inside, t.settled = t.hi, t.below + e["lows"] + between, e["highs"], True
+        elif last >= e["lows"] + between:  # the value below the high end and its first copy
+            straddling.append((t, e["under"], t.below + e["lows"] + between))
+        else:
+            t.lo, t.hi, t.below, t.inside = e["above"], e["under"], t.below + e["lows"], between
+    if straddling:
+        copies = df.agg(*[F.count_if(t.column == under).alias(f"u{i}") for i, (t, under, _) in enumerate(straddling)]).first()
+        for i, (t, under, before_hi) in enumerate(straddling):
+            t.lo, t.below, t.settled = under, before_hi - copies[f"u{i}"], True
 
 
-def _pick(df: DataFrame, targets: list[_Target]) -> list[float]:
+def _pick(df: DataFrame, targets: list[_Target]) -> list[Rank]:
     """Rank the grouped values inside each bracket and read the wanted one or two."""
+    slots: dict[tuple, int] = {}
+    for t in targets:  # positions of one column often share their bracket
+        slots.setdefault((id(t.column), t.lo, t.hi), len(slots))
+    column = {slots[id(t.column), t.lo, t.hi]: t for t in targets}
     inside = [
         F.when(t.column.between(t.lo, t.hi), F.struct(F.lit(i).alias("slot"), t.column.alias("value")))
-        for i, t in enumerate(targets)
+        for i, t in sorted(column.items())
     ]
     grouped = (
         df.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -130,18 +199,24 @@ def _pick(df: DataFrame, targets: list[_Target]) -> list[float]:
     upto = F.sum("n").over(
         Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    want = F.array(*[F.struct(F.lit(t.first - t.below).alias("a"), F.lit(t.last - t.below).alias("b")) for t in targets])
-    this = F.element_at(want, F.col("slot") + 1)
-    rows = (
-        grouped.withColumn("upto", upto)
-        .where((F.col("upto") > this["a"]) & (F.col("upto") - F.col("n") <= this["b"]))
-        .orderBy("slot", "value")
-        .collect()
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for t in targets:
+        spans.setdefault(slots[id(t.column), t.lo, t.hi], []).append((t.first - t.below, t.last - t.below))
+    want = F.array(
+        *[F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(set(spans[i]))]) for i in sorted(spans)]
+    )
+    hit = F.exists(
+        F.element_at(want, F.col("slot") + 1), lambda w: (F.col("upto") > w["a"]) & (F.col("upto") - F.col("n") <= w["b"])
     )
-    hits: dict[int, list[float]] = {}
-    for r in rows:
-        hits.setdefault(r["slot"], []).append(r["value"])
-    return [t.blend(hits[i][0], hits[i][-1]) for i, t in enumerate(targets)]
+    hits: dict[int, list] = {}
+    for r in grouped.withColumn("upto", upto).where(hit).collect():
+        hits.setdefault(r["slot"], []).append((r["value"], r["upto"] - r["n"], r["n"]))
+    out = []
+    for t in targets:
+        a, b = t.first - t.below, t.last - t.below
+        own = sorted(h for h in hits[slots[id(t.column), t.lo, t.hi]] if h[1] <= b and h[1] + h[2] > a)
+        out.append(Rank(t.blend(own[0][0], own[-1][0]), t.below + own[0][1], own[0][2], t.n))
+    return out
 
 
 def exact_quantiles(

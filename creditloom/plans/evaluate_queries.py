@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.nulls import rounded
 from creditloom.functions.risk import sigmoid
 from creditloom.operators import evaluate
-from creditloom.operators.sampling import stratified_folds, stratified_split
+from creditloom.operators.sampling import split_and_folds, stratified_cut, stratified_split
 from creditloom.plans.registry import query, r6, with_views
 from creditloom.sources.views import view
 
@@ -175,7 +175,7 @@ _FOLDS = " + ".join(
 )
 def train_test_split(spark, sf_dir):
     df = view(spark, sf_dir, "application_train").select("SK_ID_CURR", "TARGET")
-    return stratified_split(df).withColumn("fold", stratified_folds(df))
+    return split_and_folds(df)
 
 
 SAMPLE_CTE = f"""split as (select *, row_number() over (partition by TARGET order by h, SK_ID_CURR) as rn,
@@ -192,8 +192,6 @@ SAMPLE_CTE = f"""split as (select *, row_number() over (partition by TARGET orde
     ),
 )
 def tuning_sample(spark, sf_dir):
-    from creditloom.operators.sampling import stratified_cut
-
     train = stratified_split(view(spark, sf_dir, "application_train").select("SK_ID_CURR", "TARGET"))
     train = train.where("is_train").drop("is_train")
     return train.where(stratified_cut(train, 0.25))

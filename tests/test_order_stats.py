@@ -5,8 +5,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.operators.order_stats import exact_quantiles, exact_ranks, running_totals
-from creditloom.operators.sampling import sample_rows, shuffle_key, stratified_cut, stratified_folds, stratified_split
+from creditloom.operators.order_stats import exact_quantiles, exact_ranks, ranks, running_totals
+from creditloom.operators.sampling import (
+    sample_rows,
+    shuffle_key,
+    split_and_folds,
+    stratified_cut,
+    stratified_folds,
+    stratified_split,
+)
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +97,38 @@ def test_folds_are_stratified_and_independent_of_the_split(spark):
         assert [sum(r.fold == k and r.TARGET == label for r in rows) for k in range(5)] == [size] * 5
     shares = [np.mean([r.train for r in rows if r.fold == k]) for k in range(5)]
     assert max(shares) - min(shares) < 0.1
+
+
+def test_ends_that_no_sketch_parts(spark):
+    """Almost all rows at two values, many distinct ones between: the ends are cut off by counts."""
+    between = np.random.default_rng(3).normal(size=40)
+    values = np.sort(np.concatenate([np.full(150_000, -50.0), between, np.full(149_000, 50.0)]))
+    df = spark.createDataFrame(pd.DataFrame({"a": values}))
+    spots = [0, 149_999, 149_999.5, 150_000, 150_017.25, 150_039, 150_039.5, 150_040, len(values) - 1]
+    got = exact_ranks(df, {"a": F.col("a")}, lambda n: spots, small=10)["a"]
+    assert got == pytest.approx(np.interp(spots, np.arange(len(values)), values).tolist(), abs=1e-12)
+
+
+def test_counts_around_a_rank(numbers):
+    pdf, df = numbers
+    (found,) = ranks(df, {"steps": F.col("steps")}, {"steps": lambda n: [n // 2]}, small=50)["steps"]
+    assert found.below == int((pdf.steps < found.value).sum()) and found.at == int((pdf.steps == found.value).sum())
+    assert found.n == len(pdf)
+
+
+def _jobs(spark, build):
+    group = f"jobs-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        build().write.format("noop").mode("overwrite").save()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_split_and_folds_share_their_passes(spark):
+    df = spark.range(3000).select(F.col("id").alias("SK_ID_CURR"), (F.col("id") % 25 == 0).cast("int").alias("TARGET"))
+    assert _jobs(spark, lambda: split_and_folds(df)) <= 8
+    both = split_and_folds(df).collect()
+    apart = {r.SK_ID_CURR: (r.is_train, r.fold) for r in stratified_split(df).withColumn("fold", stratified_folds(df)).collect()}
+    assert {r.SK_ID_CURR: (r.is_train, r.fold) for r in both} == apart
