@@ -6,12 +6,12 @@ from math import exp, factorial
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from creditloom.operators import explain, model
 from creditloom.operators.selection import vote
-from creditloom.operators.tree_explain import base_value, contributions, leaves_of, tree_contributions
+from creditloom.operators.tree_explain import base_value, contributions, leaf_contributions, leaves_of, tree_contributions
 
 MODEL = explain.LinearModel(0.5, {"a": 2.0, "b": -1.0, "c": 0.25}, {"a": 1.0, "b": 3.0, "c": 0.0})
 
@@ -123,6 +123,39 @@ def test_tree_contributions_are_shapley_values(spark, training, boosted):
             assert got[r, i] == pytest.approx(phi, abs=1e-10)
 
 
+def test_weights_equal_enumeration_of_all_coalitions():
+    """EXTEND and UNWIND against the sum over all coalitions, for every pattern of a path of three and of six features."""
+    rng = np.random.default_rng(5)
+    for d in (1, 3, 6):
+        share = rng.uniform(0.05, 0.95, d)
+        inside = ((np.arange(2**d)[:, None] >> np.arange(d)) & 1).astype(float)
+        got = leaf_contributions(2.5, inside, share)
+        for p, row in enumerate(inside):
+            for i in range(d):
+                others = [j for j in range(d) if j != i]
+                want = sum(
+                    factorial(k) * factorial(d - 1 - k) / factorial(d)
+                    * np.prod([row[j] if j in s else share[j] for j in others])
+                    for k in range(d)
+                    for s in combinations(others, k)
+                ) * (row[i] - share[i]) * 2.5
+                assert got[p, i] == pytest.approx(want, abs=1e-12)
+
+
+def test_deep_trees_and_forests_are_additive(spark, training):
+    pdf, df = training
+    data = model.assemble(df, list("abcd"))
+    deep = GBTClassifier(labelCol="TARGET", maxIter=6, maxDepth=9, stepSize=0.3, seed=1).fit(data)
+    wide, base = tree_contributions(data, deep, list("abcd"), vector="features")
+    total = sum((F.col(c) for c in "abcd"), F.lit(base))
+    rebuilt = wide.select(F.col("SK_ID_CURR").alias("id"), (1 / (1 + F.exp(-total))).alias("q"))
+    assert rebuilt.join(model.score(deep, data), "id").where("abs(q - probability) > 1e-9").isEmpty()
+    forest = RandomForestClassifier(labelCol="TARGET", numTrees=7, maxDepth=6, seed=2).fit(data)
+    wide, base = tree_contributions(df, forest, list("abcd"))
+    rebuilt = wide.select(F.col("SK_ID_CURR").alias("id"), sum((F.col(c) for c in "abcd"), F.lit(base)).alias("q"))
+    assert rebuilt.join(model.score(forest, data), "id").where("abs(q - probability) > 1e-9").isEmpty()
+
+
 def test_preparation_fills_and_flags(spark):
     df = spark.createDataFrame(
         [(1, 0, 1.0, None), (2, 1, None, None), (3, 0, 3.0, None)],
