@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -233,6 +233,32 @@ def eliminate(df: DataFrame, features: Sequence[str], keep: int = 30, step: int
     return _names_table(df.sparkSession, left)
 
 
+def elimination_rounds(data: DataFrame, features: Sequence[str], keep: int = 30, step: int = 15) -> list[dict[str, float]]:
+    """Squared weights of the features left in every round of ``eliminate``; the last entry are the kept ones.
+
+    ``data`` is a written table with the scaled vector of all ``features``;
+    every round takes its columns out of that vector.
+    """
+    data = with_balanced_weight(data)
+    n = data.count()
+    left, rounds = list(range(len(features))), []
+    while True:
+        sliced = VectorSlicer(inputCol="features", outputCol="left", indices=left).transform(data)
+        fitted = _regression(n, 1.0, 0.0).setFeaturesCol("left").fit(sliced)
+        strength = np.square(fitted.coefficients.toArray())
+        rounds.append({features[i]: float(w) for i, w in zip(left, strength, strict=True)})
+        if len(left) <= keep:
+            return rounds
+        weak = set(np.argsort(strength, kind="stable")[: min(step, len(left) - keep)].tolist())
+        left = [i for k, i in enumerate(left) if k not in weak]
+
+
+def lasso_model(data: DataFrame, c: float = 0.05) -> tuple[LogisticRegressionModel, float]:
+    """Balanced linear model with an L1 penalty over scaled feature vectors, and the penalty per unit of mean loss."""
+    n = data.count()
+    return _regression(n, c, 1.0).fit(with_balanced_weight(data)), 1.0 / (c * n)
+
+
 def lasso_selected(df: DataFrame, features: Sequence[str], c: float = 0.05, minimum: float = 1e-4) -> DataFrame:
     """Features that keep a weight under an L1 penalty; ``df`` holds scaled features."""
     model = _regression(df.count(), c, 1.0).fit(assemble(with_balanced_weight(df), features))

@@ -156,8 +156,8 @@ def sigmoid_of_logit(spark, sf_dir):
 
 
 _HASH = "('0x' || substr(md5('split:' || SK_ID_CURR), 1, 10))::bigint"
-_FOLD = "('0x' || substr(md5('fold:' || SK_ID_CURR), 1, 10))::bigint"
-_FOLDS = " + ".join(
+FOLD_HASH = "('0x' || substr(md5('fold:' || SK_ID_CURR), 1, 10))::bigint"
+FOLD_NUMBER = " + ".join(
     "case when row_number() over (partition by TARGET order by g, SK_ID_CURR)"
     f" > round(count(*) over (partition by TARGET)*{k}/5e0) then 1 else 0 end"
     for k in range(1, 5)
@@ -169,8 +169,8 @@ _FOLDS = " + ".join(
     with_views(
         ["application_train"],
         f"""select SK_ID_CURR, TARGET, row_number() over (partition by TARGET order by h, SK_ID_CURR)
- <= round_even(8e-1*count(*) over (partition by TARGET), 0) as is_train, cast({_FOLDS} as int) as fold
- from (select *, {_HASH} as h, {_FOLD} as g from application_train)""",
+ <= round_even(8e-1*count(*) over (partition by TARGET), 0) as is_train, cast({FOLD_NUMBER} as int) as fold
+ from (select *, {_HASH} as h, {FOLD_HASH} as g from application_train)""",
     ),
 )
 def train_test_split(spark, sf_dir):
