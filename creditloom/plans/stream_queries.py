@@ -37,8 +37,7 @@ def scored_stream(spark, sf_dir):
 
 
 def _decision_stream(spark, sf_dir):
-    tables = {"lineitem": table_stream(spark, sf_dir, "lineitem"), "orders": table(spark, sf_dir, "orders")}
-    return shape(tables, "decisions")
+    return shape({"lineitem": table_stream(spark, sf_dir, "lineitem")}, "decisions")
 
 
 @query("T02", with_views(["decisions", "predictions"], f"select {DECISION_STATS} from joined", [JOINED_CTE]))

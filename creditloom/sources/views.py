@@ -32,7 +32,6 @@ class View:
     tables: tuple[str, ...]
     columns: tuple[tuple[str, str], ...]
     on: str | None = None
-    where: str | None = None
 
 
 _CREDIT = "cast(45000+(c_custkey*37%1000)*500 as double)"
@@ -93,7 +92,8 @@ VIEWS = {
     "POS_CASH_balance": View(
         ("lineitem", "orders"),
         (
-            ("SK_ID_CURR", "o_custkey"),
+            # Every seventh customer's contracts belong to the next one, so that some have none.
+            ("SK_ID_CURR", "case when o_custkey%7=0 then o_custkey+1 else o_custkey end"),
             ("SK_ID_PREV", "l_orderkey"),
             ("MONTHS_BALANCE", _SHIP_MONTH),
             ("SK_DPD", "cast(case when l_quantity>40 then l_quantity-40 else 0 end as int)"),
@@ -104,7 +104,6 @@ VIEWS = {
             ),
         ),
         on="l_orderkey = o_orderkey",
-        where="o_custkey%7<>0",
     ),
     "credit_card_balance": View(
         ("events",),
@@ -122,7 +121,8 @@ VIEWS = {
     "bureau": View(
         ("orders",),
         (
-            ("SK_ID_CURR", "o_custkey"),
+            # Every fifth customer's loans belong to the next one.
+            ("SK_ID_CURR", "case when o_custkey%5=0 then o_custkey+1 else o_custkey end"),
             ("SK_ID_BUREAU", "o_orderkey"),
             ("AMT_CREDIT_SUM", "case when o_orderkey%29=0 then null else o_totalprice end"),
             ("CREDIT_DAY_OVERDUE", "case when o_orderkey%40=0 then o_orderkey%97 else 0 end"),
@@ -130,12 +130,12 @@ VIEWS = {
             ("CREDIT_ACTIVE", "case o_orderstatus when 'F' then 'Closed' when 'O' then 'Active' else 'Sold' end"),
             ("DAYS_CREDIT", "DD(o_orderdate,2001-12-01)"),
         ),
-        where="o_orderkey%2=0 and o_custkey%5<>0",
     ),
     "bureau_balance": View(
         ("lineitem",),
         (
-            ("SK_ID_BUREAU", "l_orderkey"),
+            # Balances of two neighbouring loans belong to the even one; odd loans have none.
+            ("SK_ID_BUREAU", "l_orderkey-l_orderkey%2"),
             ("MONTHS_BALANCE", _SHIP_MONTH),
             (
                 "STATUS",
@@ -143,7 +143,6 @@ VIEWS = {
                 " when 4 then 'X' else 'C' end",
             ),
         ),
-        where="l_orderkey%2=0",
     ),
     "users": View(
         ("supplier",),
@@ -157,16 +156,18 @@ VIEWS = {
         ("orders",),
         (
             ("id", "o_orderkey"),
-            ("applicant_id", "o_custkey"),
+            # Every fourth customer's predictions belong to the next one, so that some wait without any.
+            ("applicant_id", "case when o_custkey%4=0 then o_custkey+1 else o_custkey end"),
             ("officer_id", "o_custkey%10"),
             ("ts", "o_orderdate"),
             ("predicted_probability", "cast(o_orderkey*7919%1000 as double)/2000"),
         ),
     ),
     "decisions": View(
-        ("lineitem", "orders"),
+        ("lineitem",),
         (
-            ("prediction_id", "l_orderkey"),
+            # Every third prediction stays open; its decisions belong to the next one, the last of which may not exist.
+            ("prediction_id", "case when l_orderkey%3=0 then l_orderkey+1 else l_orderkey end"),
             ("officer_id", "case when l_suppkey%9=0 then -1 else l_suppkey end"),
             ("decision", "case l_returnflag when 'A' then 'approved' when 'R' then 'Declined' else 'escalated' end"),
             ("notes", "case when l_partkey%4=0 then null else l_linestatus end"),
@@ -174,8 +175,6 @@ VIEWS = {
             ("l_linenumber", "l_linenumber"),
             ("l_partkey", "l_partkey"),
         ),
-        on="l_orderkey = o_orderkey",
-        where="l_orderkey%3<>0 and o_custkey%4<>0",
     ),
     # Every applicant with a deterministic score: the cohort of the dashboards.
     "cohort": View(
@@ -219,8 +218,6 @@ def shape(tables: dict[str, DataFrame], name: str) -> DataFrame:
     df = tables[view.tables[0]]
     for other in view.tables[1:]:
         df = df.join(tables[other], F.expr(view.on))
-    if view.where:
-        df = df.where(view.where)
     return df.selectExpr(*[f"{_spark_expr(e)} as {c}" for c, e in view.columns])
 
 
@@ -233,5 +230,4 @@ def view_sql(name: str) -> str:
     v = VIEWS[name]
     cols = ", ".join(f"{_duck_expr(e)} as {c}" for c, e in v.columns)
     source = v.tables[0] if len(v.tables) == 1 else f"{v.tables[0]} join {v.tables[1]} on {v.on}"
-    where = f" where {v.where}" if v.where else ""
-    return f"select {cols} from {source}{where}"
+    return f"select {cols} from {source}"
