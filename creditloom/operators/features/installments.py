@@ -48,11 +48,12 @@ def last_payments(payments: DataFrame, k: int = LAST_PAYMENTS) -> DataFrame:
     """Lateness over the k instalments due last.
 
     ``row_number() <= k`` is pushed below the shuffle, so that each task sends
-    at most k rows per customer, however many payments a customer has.
+    at most k rows per customer, however many payments a customer has. Rows that
+    tie in all four columns are late by the same days, so no further column is read;
+    these are the columns of the aggregates, and both sides can share what lies below.
     """
     newest = Window.partitionBy("SK_ID_CURR").orderBy(
         F.desc_nulls_last("DAYS_INSTALMENT"),
-        F.asc_nulls_last("SK_ID_PREV"),
         F.asc_nulls_last("AMT_INSTALMENT"),
         F.asc_nulls_last("AMT_PAYMENT"),
         F.asc_nulls_last("DAYS_ENTRY_PAYMENT"),

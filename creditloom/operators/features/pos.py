@@ -5,44 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.nulls import count_where, flag, mean_over_rows, mean_seen, ratio, rows, slope_of, sum0
+from creditloom.functions.nulls import count_where, flag, ratio, rows, slope, sum0
 
 RECENT_MONTHS = -6
 RECENT_CONTRACT_MONTHS = -12
 
 
 def pos_features(pos: DataFrame) -> DataFrame:
-    """Delinquency level, trend and completion rates of POS contracts."""
-    dpd = F.col("SK_DPD")
-    recent_dpd = F.when(F.col("MONTHS_BALANCE") >= RECENT_MONTHS, dpd)
-    per_customer = (
-        pos.groupBy("SK_ID_CURR")
+    """Delinquency level, trend and completion rates of POS contracts.
+
+    The table is read once: rows are summed up per contract, contracts per
+    customer. All sums are additive, so no join brings the levels together.
+    """
+    contracts = contract_sums(pos)
+    recent = F.col("last_month") >= RECENT_CONTRACT_MONTHS
+    older = F.col("last_month") < RECENT_CONTRACT_MONTHS
+
+    def rate(which):
+        return ratio(sum0(F.when(which, F.col("completed"))), count_where(which))
+
+    n, sx, sy, sxy, sxx = (sum0(c) for c in ("n", "sx", "sy", "sxy", "sxx"))
+    level = F.when((n < 2) | (F.min("first_month") == F.max("last_month")), F.lit(0.0))
+    return (
+        contracts.groupBy("SK_ID_CURR")
         .agg(
-            rows().alias("POS_COUNT"),
-            F.max(dpd).alias("POS_MAX_DPD"),
-            F.max("SK_DPD_DEF").alias("POS_MAX_DPD_DEF"),
-            mean_over_rows(dpd).alias("POS_AVG_DPD"),
-            mean_over_rows("SK_DPD_DEF").alias("POS_AVG_DPD_DEF"),
-            ratio(count_where(dpd > 0), rows()).alias("POS_DPD_RATIO"),
-            mean_seen(recent_dpd).alias("POS_RECENT_AVG_DPD"),
-            slope_of("MONTHS_BALANCE", dpd).alias("POS_DPD_SLOPE"),
+            n.alias("POS_COUNT"),
+            F.max("max_dpd").alias("POS_MAX_DPD"),
+            F.max("max_dpd_def").alias("POS_MAX_DPD_DEF"),
+            ratio(sy, n).alias("POS_AVG_DPD"),
+            ratio(sum0("dpd_def"), n).alias("POS_AVG_DPD_DEF"),
+            ratio(sum0("overdue"), n).alias("POS_DPD_RATIO"),
+            ratio(sum0("recent_dpd"), sum0("recent_n")).alias("POS_RECENT_AVG_DPD"),
+            level.otherwise(slope(n, sx, sy, sxy, sxx)).alias("POS_DPD_SLOPE"),
+            (rate(recent) - rate(older)).alias("POS_COMPLETION_RATE_DIFF"),
         )
         .withColumn("POS_DPD_TREND", F.col("POS_RECENT_AVG_DPD") - F.col("POS_AVG_DPD"))
     )
-    return per_customer.join(completion_rate_change(pos), "SK_ID_CURR", "left")
 
 
-def completion_rate_change(pos: DataFrame) -> DataFrame:
-    """Completion rate of recent contracts minus that of older ones."""
-    contracts = pos.groupBy("SK_ID_PREV").agg(
-        F.min("SK_ID_CURR").alias("SK_ID_CURR"),
-        F.max("MONTHS_BALANCE").alias("last_month"),
+def contract_sums(pos: DataFrame) -> DataFrame:
+    """Additive sums, last month and completion of every contract; one that several customers share counts for each."""
+    month, dpd = F.col("MONTHS_BALANCE").cast("long"), F.col("SK_DPD")
+    recent_dpd = F.when(F.col("MONTHS_BALANCE") >= RECENT_MONTHS, dpd)
+    return pos.groupBy("SK_ID_CURR", "SK_ID_PREV").agg(
+        rows().alias("n"),
+        F.max(dpd).alias("max_dpd"),
+        F.max("SK_DPD_DEF").alias("max_dpd_def"),
+        F.sum("SK_DPD_DEF").alias("dpd_def"),
+        count_where(dpd > 0).alias("overdue"),
+        F.sum(recent_dpd).alias("recent_dpd"),
+        F.count(recent_dpd).alias("recent_n"),
+        F.sum(month).alias("sx"),
+        F.sum(dpd).alias("sy"),
+        F.sum(month * dpd).alias("sxy"),
+        F.sum(month * month).alias("sxx"),
+        F.min(month).alias("first_month"),
+        F.max(month).alias("last_month"),
         F.max(flag(F.col("NAME_CONTRACT_STATUS") == "Completed")).alias("completed"),
     )
-    recent = F.col("last_month") >= RECENT_CONTRACT_MONTHS
-    older = F.col("last_month") < RECENT_CONTRACT_MONTHS
-
-    def rate(which):
-        return ratio(sum0(F.when(which, F.col("completed"))), count_where(which))
-
-    return contracts.groupBy("SK_ID_CURR").agg((rate(recent) - rate(older)).alias("POS_COMPLETION_RATE_DIFF"))

@@ -226,7 +226,7 @@ INST_CTES = [
  {_slope('DAYS_INSTALMENT', 'AMT_PAYMENT/(AMT_INSTALMENT+1e-9)')} as INST_PAY_RATIO_SLOPE,
  {_slope('DAYS_INSTALMENT', 'coalesce(delay,0)')} as INST_DELAY_SLOPE from inst_rows group by SK_ID_CURR)""",
     """inst_ranked as (select *, row_number() over (partition by SK_ID_CURR order by DAYS_INSTALMENT desc nulls last,
- SK_ID_PREV nulls last, AMT_INSTALMENT nulls last, AMT_PAYMENT nulls last, DAYS_ENTRY_PAYMENT nulls last) as rn
+ AMT_INSTALMENT nulls last, AMT_PAYMENT nulls last, DAYS_ENTRY_PAYMENT nulls last) as rn
  from inst_rows)""",
     f"""inst_last as (select SK_ID_CURR, avg(case when {_LATE} then 1 else 0 end) as RECENT_LATE_RATIO,
  avg(delay) as RECENT_AVG_DELAY from inst_ranked where rn<=5 group by SK_ID_CURR)""",

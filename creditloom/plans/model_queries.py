@@ -29,7 +29,8 @@ from creditloom.operators.selection import select_by_correlation, vote
 from creditloom.operators.tree_explain import tree_contributions
 from creditloom.plans.evaluate_queries import FOLD_HASH, FOLD_NUMBER, SAMPLE_CTE
 from creditloom.plans.feature_queries import feature_rows
-from creditloom.plans.registry import query, with_views
+from creditloom.plans.registry import query as registered
+from creditloom.plans.registry import with_views
 from creditloom.session import materialize, scratch_path
 from creditloom.sources.tables import read_feature_list
 from creditloom.streaming.jobs import score_batches
@@ -42,6 +43,11 @@ SEARCH_GRID = model.BOOSTING_GRID | {"maxIter": [n // 10 for n in model.BOOSTING
 BOOSTING = "Gradient Boosting"
 KEYS = ("SK_ID_CURR", "TARGET")
 
+
+def query(covers: str, sql: str | None = None):
+    return registered(covers, sql, trains=True)
+
+
 _STORED: dict[tuple[str, str, str], object] = {}
 
 

@@ -18,19 +18,23 @@ class Query:
     build: Build
     sql: str | None
     covers: str
+    trains: bool = False
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(covers: str, sql: str | None = None):
-    """Register a function as a query; ``covers`` lists the inventory rows it shows."""
+def query(covers: str, sql: str | None = None, trains: bool = False):
+    """Register a function as a query; ``covers`` lists the inventory rows it shows.
+
+    ``trains`` marks a query that fits models at their full settings, which takes minutes.
+    """
 
     def add(build: Build) -> Build:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(configure(spark), sf_dir)
 
-        QUERIES[build.__name__] = Query(run, sql, covers)
+        QUERIES[build.__name__] = Query(run, sql, covers, trains)
         return build
 
     return add
