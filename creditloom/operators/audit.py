@@ -22,11 +22,6 @@ def prediction_records(scored: DataFrame, shap_map: Column) -> DataFrame:
     )
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append to a log table; appends never rewrite what is there."""
-    df.write.mode("append").parquet(path)
-
-
 def add_missing_columns(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new log rows under the wider schema; absent columns read as NULL."""
     return old.unionByName(new, allowMissingColumns=True)
@@ -97,8 +92,9 @@ def applicant_history(
     users: DataFrame,
     applicant_id: int | None = None,
     defaults: bool = False,
+    newest: int = 20,
 ) -> DataFrame:
-    """Predictions with their decisions, of all applicants or newest first for one.
+    """Predictions with their decisions, of all applicants or the ``newest`` of one, newest first.
 
     ``defaults`` writes the texts shown for an open case; an empty text counts
     as missing, too. Decided and open predictions are joined apart: an inner join
@@ -133,14 +129,24 @@ def applicant_history(
             }
         )
     if applicant_id is not None:
-        history = history.orderBy(F.desc("pred_time"), F.asc("prediction_id"), F.asc("decision_time"))
+        ties = [F.asc_nulls_last(c) for c in ("decision_time", "decision", "notes", "officer_name")]
+        history = _numbered(history, [F.desc("pred_time"), F.asc("prediction_id"), *ties], newest)
     return history
 
 
+def _numbered(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows with their ``place``; only they reach the window."""
+    return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def officer_activity(
-    decisions: DataFrame, predictions: DataFrame, applicants: DataFrame, officer_id: int | None = None
+    decisions: DataFrame,
+    predictions: DataFrame,
+    applicants: DataFrame,
+    officer_id: int | None = None,
+    newest: int = 20,
 ) -> DataFrame:
-    """Decisions of one officer (newest first) or of all, with applicant and score."""
+    """Decisions of all officers, or the ``newest`` of one, newest first, with applicant and score."""
     made = _decisions(decisions)
     if officer_id is not None:
         made = made.where(F.col("officer_id") == officer_id)
@@ -159,7 +165,10 @@ def officer_activity(
             "applicant_name",
         )
     )
-    return activity.orderBy(F.desc("decision_time")) if officer_id is not None else activity
+    if officer_id is None:
+        return activity
+    ties = [F.asc_nulls_last(c) for c in ("prediction_id", "decision", "notes")]
+    return _numbered(activity, [F.desc("decision_time"), *ties], newest)
 
 
 def decided_ids(predictions: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom.functions import risk
@@ -82,6 +83,34 @@ def officer_activities(spark, sf_dir):
     return audit.officer_activity(*[view(spark, sf_dir, v) for v in ("decisions", "predictions", "applicants")])
 
 
+@query(
+    "J05",
+    with_views(
+        LOG,
+        "select *, row_number() over (order by pred_time desc, prediction_id, decision_time nulls last, decision nulls last,"
+        " notes nulls last, officer_name nulls last)::int as place from ("
+        + _HISTORY.format(columns="decision, notes, d.ts as decision_time, u.username as officer_name")
+        + " where applicant_id=1) order by place limit 20",
+    ),
+)
+def one_applicant_history(spark, sf_dir):
+    return _history(spark, sf_dir, applicant_id=1)
+
+
+@query(
+    "J06",
+    with_views(
+        LOG,
+        """select *, row_number() over (order by decision_time desc, prediction_id, decision nulls last, notes nulls last)::int as place
+ from (select d.officer_id, prediction_id, decision, notes, d.ts as decision_time, applicant_id,
+ predicted_probability, p.ts as pred_time, a.name as applicant_name from decisions d
+ join predictions p on d.prediction_id=p.id join applicants a on p.applicant_id=a.SK_ID_CURR where d.officer_id=2) order by place limit 20""",
+    ),
+)
+def one_officer_activity(spark, sf_dir):
+    return audit.officer_activity(*[view(spark, sf_dir, v) for v in ("decisions", "predictions", "applicants")], officer_id=2)
+
+
 PENDING_CTES = [
     "decided as (select distinct p.applicant_id from predictions p join decisions d on d.prediction_id=p.id)",
     f"""pending as (select c.applicant_id, coalesce(a.name,'Unknown Applicant') as name, c.target, probability,
@@ -172,6 +201,22 @@ def cohort_defaults(spark, sf_dir):
     return audit.cohort_view(view(spark, sf_dir, "cohort"), "defaults", "", "prob-asc")
 
 
+@query("C15", with_views(["cohort"], "select *, row_number() over (order by probability, applicant_id)::int as place from cohort where probability<15e-2 order by place limit 50"))
+def cohort_approved(spark, sf_dir):
+    """The first screen of the approved, lowest risk first, with its order."""
+    return _first_screen(audit.cohort_view(view(spark, sf_dir, "cohort"), "approved", "", "prob-asc"), "probability", "applicant_id")
+
+
+@query("C15", with_views(["cohort"], "select *, row_number() over (order by applicant_id)::int as place from cohort where probability>=15e-2 and cast(applicant_id as varchar) like '%3%' order by place limit 50"))
+def cohort_rejected(spark, sf_dir):
+    """The first screen of the rejected with a 3 in their id, by id."""
+    return _first_screen(audit.cohort_view(view(spark, sf_dir, "cohort"), "rejected", "3", "id-asc"), "applicant_id")
+
+
+def _first_screen(sorted_rows, *order, n=50):
+    return sorted_rows.limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 @query("K01, C15", with_views(["cohort"], "select * from cohort"))
 def cohort_by_risk(spark, sf_dir):
     return audit.cohort_view(view(spark, sf_dir, "cohort"))
@@ -221,19 +266,29 @@ def normalized_usernames(spark, sf_dir):
     return view(spark, sf_dir, "users").select("id", risk.normal_key(padded).alias("username"))
 
 
+def _search_sql(mode: str, prefix: str, inside: str) -> str:
+    return (
+        f"(select '{mode}' as mode, SK_ID_CURR as applicant_id, name, TARGET as target from applicants"
+        f" where cast(SK_ID_CURR as varchar) ilike '{prefix}' escape '!' or name ilike '{inside}' escape '!' order by SK_ID_CURR limit 6)"
+    )
+
+
 @query(
     "C13",
     with_views(
         ["applicants"],
-        "select SK_ID_CURR as applicant_id, name, TARGET as target from applicants"
-        " where cast(SK_ID_CURR as varchar) like '12%' or name ilike '%customer#00000001%' order by SK_ID_CURR limit 6",
+        " union all ".join([_search_sql("parity", "1_%", "%1_%"), _search_sql("safe", "1!_%", "%1!_%"), _search_sql("plain", "12%", "%12%")]),
     ),
 )
 def applicant_search(spark, sf_dir):
-    df = view(spark, sf_dir, "applicants").withColumnRenamed("name", "full_name")
-    by_name = audit.search_applicants(df.withColumn("name", F.col("full_name")), "customer#00000001")
-    by_id = audit.search_applicants(df.withColumn("name", F.col("full_name")), "12")
-    return by_name.union(by_id).distinct().orderBy("applicant_id").limit(6)
+    """One text looked for in ids and names: with a wildcard in it, with the same text taken literally, and without one."""
+    applicants = view(spark, sf_dir, "applicants")
+    found = None
+    for mode, text in (("parity", "1_"), ("safe", "1_"), ("plain", "12")):
+        part = audit.search_applicants(applicants, text, mode="safe" if mode == "safe" else "parity")
+        part = part.select(F.lit(mode).alias("mode"), "*")
+        found = part if found is None else found.union(part)
+    return found
 
 
 LOOKUP = ["AMT_CREDIT", "AMT_INCOME_TOTAL", "EXT_SOURCE_1", "EXT_SOURCE_2", "DAYS_BIRTH", "CNT_CHILDREN"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from creditloom.functions.catalog import DESCRIPTIONS, DISPLAY_NAMES, display_name
@@ -14,6 +16,8 @@ from creditloom.operators.features.interactions import ratio_features
 from creditloom.plans.audit_queries import band_sql
 from creditloom.plans.feature_queries import CLEAN_CTES, RATIO_SQL
 from creditloom.plans.registry import query, r6, with_views
+from creditloom.session import scratch_path
+from creditloom.sources import tables
 from creditloom.sources.views import view
 
 INTERCEPT = 1.2
@@ -265,7 +269,7 @@ def narrations(spark, sf_dir):
 
 
 @query(
-    "S10",
+    "S09, S10",
     with_views(
         APP,
         f"""select SK_ID_CURR as applicant_id, {band_sql('probability')} as risk_label,
@@ -275,14 +279,19 @@ def narrations(spark, sf_dir):
     ),
 )
 def prediction_log(spark, sf_dir):
-    """The JSON written to the log, read back as one row per feature."""
+    """Two appends to a table with declared types; the JSON in it, read back as one row per feature."""
     scored = explained(spark, sf_dir).select(
         F.col("SK_ID_CURR").alias("applicant_id"),
         F.lit(0).alias("officer_id"),
         F.col("probability").alias("predicted_probability"),
         "explanation",
     )
-    log = audit.prediction_records(scored, explain.shap_map("explanation")).drop("explanation", "officer_id")
+    records = audit.prediction_records(scored, explain.shap_map("explanation")).drop("explanation")
+    name = f"prediction_log_{uuid.uuid4().hex}"
+    tables.create_typed_table(records, name, "applicant_id", scratch_path(spark, "prediction-log"))
+    for part in ("applicant_id % 2 = 0", "applicant_id % 2 <> 0"):
+        tables.append_rows(records.where(part), name)
+    log = spark.table(name)
     read = F.from_json("shap_values", "map<string,double>")
     return rounded(
         log.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from creditloom.functions.nulls import rounded
@@ -362,3 +364,34 @@ def standard_scaled(spark, sf_dir):
     df = view(spark, sf_dir, "application_train")
     columns = ["AMT_CREDIT", "AMT_ANNUITY", "EXT_SOURCE_2"]
     return rounded(scale(df, fit_scaling(df, columns)).select("SK_ID_CURR", *columns))
+
+
+@query(
+    "S07",
+    with_views(
+        APP,
+        f"""select SK_ID_CURR, {', '.join(c for c in _INTS if c != 'SK_ID_CURR')},
+ {', '.join(f'cast(cast({c} as float) as double) as {c}' for c in _DBLS)} from application_train""",
+    ),
+)
+def narrowed_rows(spark, sf_dir):
+    """The rows in their narrow types, widened again: whole numbers as they were, doubles with the digits of a float."""
+    app = view(spark, sf_dir, "application_train").select(*_INTS, *_DBLS)
+    narrow = tables.narrow(app)
+    return narrow.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in app.schema])
+
+
+@query(
+    "S09",
+    "select 'SK_ID_CURR' as col_name, 'bigint' as data_type union all select 'TARGET', 'bigint'"
+    " union all select 'AMT_CREDIT', 'double' union all select 'CODE_GENDER', 'string' union all select 'OWNS_CAR', 'string'",
+)
+def declared_types(spark, sf_dir):
+    """Column types of a table made for a DataFrame; a flag is stored as text."""
+    app = view(spark, sf_dir, "application_train")
+    rows = app.select("TARGET", "AMT_CREDIT", "CODE_GENDER", F.col("OWN_CAR_AGE").isNotNull().alias("OWNS_CAR"), "SK_ID_CURR")
+    name = f"declared_{uuid.uuid4().hex}"
+    tables.create_typed_table(rows, name, "SK_ID_CURR", scratch_path(spark, "declared"))
+    tables.append_rows(rows, name)
+    columns = [(f.name, f.dataType.simpleString()) for f in spark.table(name).schema]
+    return spark.createDataFrame(columns, "col_name string, data_type string")

@@ -152,6 +152,31 @@ def create_table_ddl(name: str, df: DataFrame, key: str) -> str:
     return f"CREATE TABLE {name} (`{key}` INTEGER PRIMARY KEY, {', '.join(columns)})"
 
 
+# The declared types as Spark names them.
+_SPARK_SQL = {"INTEGER": "BIGINT", "REAL": "DOUBLE", "TEXT": "STRING"}
+
+
+def create_typed_table(df: DataFrame, name: str, key: str, path: str) -> None:
+    """Catalog table over ``path`` with the key first and the declared type of every column; no row is written."""
+    columns = [f"`{key}` BIGINT"]
+    columns += [f"`{f.name}` {_SPARK_SQL[declared_sql_type(f.dataType)]}" for f in df.schema if f.name != key]
+    df.sparkSession.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet LOCATION '{path}'")
+
+
+def append_rows(df: DataFrame, name: str) -> None:
+    """Append rows to a catalog table, matched by name and cast to its types; what is there stays as it is.
+
+    Columns the table does not have are an error, columns that ``df`` lacks become NULL.
+    """
+    target = df.sparkSession.table(name).schema
+    unknown = [c for c in df.columns if c not in target.names]
+    if unknown:
+        raise ValueError(f"{name} has no columns {unknown}")
+    have = set(df.columns)
+    row = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in target]
+    df.select(*row).write.insertInto(name)
+
+
 def create_and_append(df: DataFrame, path: str, bucket_key: str | None = None, buckets: int = 64) -> None:
     """Append rows to a parquet table laid out by hash bucket of the key, creating it when absent."""
     writer = df

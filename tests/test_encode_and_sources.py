@@ -239,3 +239,30 @@ def test_category_limit_is_per_column(spark):
     assert encode.categories(df, ["a", "b"], limit=2) == {"a": ["x", "y"], "b": ["p", "q"]}
     with pytest.raises(ValueError, match="more than 1 categories"):
         encode.categories(df, ["a", "b"], limit=1)
+
+
+def test_typed_table_takes_appends_by_name(spark):
+    from creditloom.session import scratch_path
+
+    first = spark.createDataFrame([(1, 2, 0.5, True)], "id int, n int, x float, flag boolean")
+    name = "typed_appends"
+    tables.create_typed_table(first, name, "id", scratch_path(spark, name))
+    try:
+        tables.append_rows(first, name)
+        tables.append_rows(spark.createDataFrame([(0.25, 2)], "x double, id long"), name)
+        assert spark.table(name).dtypes == [("id", "bigint"), ("n", "bigint"), ("x", "double"), ("flag", "string")]
+        rows = sorted(map(tuple, spark.table(name).collect()))
+        assert rows == [(1, 2, 0.5, "true"), (2, None, 0.25, None)]
+        with pytest.raises(ValueError, match="no columns"):
+            tables.append_rows(spark.createDataFrame([(1, 2)], "id long, other int"), name)
+    finally:
+        spark.sql(f"drop table {name}")
+
+
+def test_safe_search_takes_wildcards_literally(spark):
+    from creditloom.operators.audit import search_applicants
+
+    rows = spark.createDataFrame([(1, "a_b", 0), (2, "acb", 0), (3, "50% off", 1)], "SK_ID_CURR long, name string, TARGET int")
+    names = lambda text, mode: [r["name"] for r in search_applicants(rows, text, mode=mode).collect()]
+    assert names("a_b", "parity") == ["a_b", "acb"] and names("a_b", "safe") == ["a_b"]
+    assert names("0%", "safe") == ["50% off"] and names("%", "safe") == ["50% off"]
