@@ -82,4 +82,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._scratch_path = None

@@ -40,3 +40,16 @@ def test_queries_run_in_a_foreign_session(tmp_path):
         [sys.executable, "-c", FOREIGN_SESSION, str(ROOT)], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert done.stdout.count("rows") == 2, done.stderr[-2000:]
+
+
+def test_discarded_tables_are_gone(spark):
+    from pathlib import Path
+
+    from creditloom.session import discard, materialize
+
+    kept, gone = (materialize(spark.range(5), "tmp") for _ in range(2))
+    folder = Path(gone._scratch_path.removeprefix("file:"))
+    assert folder.exists()
+    discard(gone, spark.range(3))
+    discard(gone)
+    assert not folder.exists() and kept.count() == 5
