@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.session import materialize
+from creditloom.session import discard, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u > v").distinct()
     edges = materialize(edges, "links")
     while not _all_stars(edges):
-        edges = materialize(small_star(large_star(edges)), "stars")
+        before, edges = edges, materialize(small_star(large_star(edges)), "stars")
+        discard(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

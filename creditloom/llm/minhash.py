@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditloom.llm import id_bitmap
 from creditloom.llm.components import components
 from creditloom.llm.rows import long_ids, texts
 from creditloom.llm.shingles import mix, shingle_set
-from creditloom.session import materialize
+from creditloom.session import discard, materialize
 
 COORDINATES, MATCHES = 64, 34
 PERCENT = 75
@@ -128,13 +129,20 @@ def star_pairs(posts: DataFrame) -> DataFrame:
     return posts.join(hubs, "value").filter("node > hub").select("hub", "node").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with enough matching coordinates whose full sets are similar."""
-    left = sets.select(F.col("node").alias("hub"), F.col("sig").alias("sig_a"), F.col("shingles").alias("a"))
-    right = sets.select("node", F.col("sig").alias("sig_b"), F.col("shingles").alias("b"))
-    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+def candidates(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs with enough matching coordinates and sizes that can be similar; only signatures move."""
+    left = signed.select(F.col("node").alias("hub"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    right = signed.select("node", F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    near = pairs.join(left, "hub").join(right, "node").filter((100 * small >= PERCENT * large) & (agree >= MATCHES))
+    fitting = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return pairs.join(left, "hub").join(right, "node").filter(fitting & (agree >= MATCHES)).select("hub", "node")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar."""
+    left = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("a"))
+    right = sets.select("node", F.col("shingles").alias("b"))
+    near = pairs.join(left, "hub").join(right, "node")
     return near.filter(similar(F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b"))).select("hub", "node")
 
 
@@ -171,24 +179,40 @@ def _cells(lists: DataFrame) -> DataFrame:
     )
 
 
-def new_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of different components, as few as join them, from one cell.
+def _partners(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For every member outside the bulk the members of other components that agree with it in enough coordinates.
 
     Two classes may meet in several lists; they are compared in the list of
     their smallest common posted value only.
     """
     sig = np.stack(frame["sig"].to_list())
     posted_here = (frame["posted"].to_numpy("int64")[:, None] >> np.arange(COORDINATES)) & 1 == 1
-    sets = [np.asarray(s) for s in frame["shingles"]]
-    size = np.array([len(s) for s in sets])
-    _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
-    node, value, links = frame["node"].to_numpy(), frame["value"].iat[0], []
+    size, root, value = frame["n"].to_numpy(), frame["root"].to_numpy(), frame["value"].iat[0]
     left, right = frame["left"].to_numpy(bool), np.flatnonzero(frame["right"].to_numpy(bool))
+    most = np.iinfo(np.int64).max
     for a in np.flatnonzero(left):
         rest = right[(root[right] != root[a]) & (100 * np.minimum(size[right], size[a]) >= PERCENT * np.maximum(size[right], size[a]))]
         same = sig[rest] == sig[a]
-        first = np.where(same & posted_here[rest] & posted_here[a], sig[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-        rest = rest[(same.sum(axis=1) >= MATCHES) & (first == value)]
+        first = np.where(same & posted_here[rest] & posted_here[a], sig[a], most).min(axis=1, initial=most)
+        yield a, rest[(same.sum(axis=1) >= MATCHES) & (first == value)]
+
+
+def with_partner(frame: pd.DataFrame) -> pd.DataFrame:
+    """The members of a cell that agree with another one: one row each, however many partners it has."""
+    seen = np.zeros(len(frame), dtype=bool)
+    for a, rest in _partners(frame):
+        if len(rest):
+            seen[a] = seen[rest] = True
+    return frame.loc[seen, ["value", "i", "j", "node", "root", "left", "right"]]
+
+
+def new_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of different components, as few as join them, from one cell."""
+    sets = [np.asarray(s) for s in frame["shingles"]]
+    size, node, links = frame["n"].to_numpy(), frame["node"].to_numpy(), []
+    _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
+    for a, rest in _partners(frame):
+        rest = rest[root[rest] != root[a]]
         if not len(rest):
             continue
         flat = np.concatenate([sets[b] for b in rest])
@@ -201,28 +225,53 @@ def new_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["hub", "node"], dtype="int64")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node`` and full set of the classes in ``nodes``; only texts that may belong to one of them are moved."""
+    own = wanted.join(nodes, "node", "left_semi").select("doc_id", "key", "node")
+    own = materialize(own, "own")
+    ids = own.select("doc_id").distinct()
+    readable = docs.select(F.col("doc_id").cast("long"), "text")
+    near, _ = id_bitmap.split(readable, "doc_id", id_bitmap.bitmap(ids, "doc_id"))
+    read = full_sets(near.join(ids, near["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi"))
+    sets = materialize(read.join(own.select("key", "node"), "key").dropDuplicates(["key"]).drop("key"), "sets")
+    discard(own)
+    return sets
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``node``, ``root`` of the classes that are linked with another one."""
     posts = materialize(posted(classes), "posts")
-    pairs = materialize(star_pairs(posts), "pairs")
     prefixes = posts.groupBy("node").agg(F.collect_list("value").alias("posted"))
     # One bit for each coordinate whose value is posted.
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
     bits = F.transform("sig", lambda v, k: F.when(F.array_contains("posted", v), bit(k)).otherwise(F.lit(0).cast("long")))
     posted_bits = F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    wanted = prefixes.join(classes, "node").select("node", "key", "doc_id", "sig", posted_bits.alias("posted"))
+    wanted = prefixes.join(classes, "node").select("node", "key", "doc_id", "n", "sig", posted_bits.alias("posted"))
     wanted = materialize(wanted, "wanted")
-    ids = wanted.select("doc_id").distinct()
-    readable = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = full_sets(readable.join(ids, readable["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi"))
-    sets = materialize(sets.join(wanted.select("key", "node", "sig", "posted"), "key").dropDuplicates(["key"]).drop("key"), "sets")
+    pairs = materialize(candidates(star_pairs(posts), wanted), "pairs")
+    sets = sets_of(docs, pairs.select("node").union(pairs.select("hub")).distinct(), wanted)
     links = materialize(confirmed(pairs, sets), "confirmed")
+    discard(pairs, sets)
     roots = materialize(components(links, "hub", "node"), "roots")
-    more = _cells(open_lists(posts, roots)).join(sets, "node").groupBy("value", "i", "j").applyInPandas(new_links, "hub long, node long")
-    more = materialize(more, "more")
+    discard(links)
+    # Cells are searched by signatures first; sets follow only for members that have a partner.
+    cells = _cells(open_lists(posts, roots)).join(wanted.select("node", "n", "sig", "posted"), "node")
+    place = "value long, i int, j int, node long, root long, left boolean, right boolean"
+    met = materialize(cells.groupBy("value", "i", "j").applyInPandas(with_partner, place), "met")
+    discard(posts)
+    if met.isEmpty():
+        discard(met, wanted)
+        return roots
+    sets = sets_of(docs, met.select("node").distinct(), wanted)
+    full = met.join(wanted.select("node", "n", "sig", "posted"), "node").join(sets, "node")
+    more = materialize(full.groupBy("value", "i", "j").applyInPandas(new_links, "hub long, node long"), "more")
+    discard(met, wanted, sets)
     if more.isEmpty():
+        discard(more)
         return roots
-    return components(roots.select(F.col("root").alias("hub"), "node").union(more), "hub", "node")
+    joined = materialize(components(roots.select(F.col("root").alias("hub"), "node").union(more), "hub", "node"), "roots")
+    discard(more, roots)
+    return joined
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,6 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Written first, so that both sides of the join come from a shuffle that Spark can split for a large component.
     ids = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     named = materialize(named.join(ids, "root").select("key", "root", "component_id"), "components")
+    discard(classes, roots, ids)
     found = rows.drop("sig").join(named, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"), "key", "root").withColumn(
@@ -250,8 +300,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     marked = materialize(near_duplicates(docs), "marked")
     repeats = marked.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id")
-    plain = marked.filter("kept or n_shingles = 0").filter("doc_id is not null").select("doc_id").join(repeats, "doc_id", "left_anti")
-    once = docs.join(plain.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    # Only rows whose id may belong to a row that goes, or occurs several times, are joined; all others stay where they are.
+    others = marked.filter("not (kept or n_shingles = 0)").select("doc_id").union(repeats).distinct()
+    others = materialize(others.withColumnRenamed("doc_id", "__other_id"), "others")
+    near, far = id_bitmap.split(docs, "doc_id", id_bitmap.bitmap(others, "__other_id"))
+    once = far.union(near.filter("doc_id is not null").join(others, F.col("doc_id") == F.col("__other_id"), "left_anti"))
     if repeats.isEmpty():
         return once
     return once.union(_one_of_repeats(docs, marked, repeats))
