@@ -29,7 +29,9 @@ Counting is by partial sums on (host, path, text hash), so a hot host is no
 single task's work; each host's few unimportant paths are joined to those pages
 only that have an undecided block. Null, empty and unparsable html gives an empty
 text; unclosed elements end with their parents; a tag cut off at the end of the
-page is left out.
+page is left out; a malformed declaration or marked section counts as a comment.
+Rows that repeat a page count once in the tree and each give their text. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -102,45 +105,64 @@ def digest(*parts_of: str) -> int:
 
 
 class Page(HTMLParser):
-    """Elements in page order (parent, tag, classes) and the text pieces of each block."""
+    """Elements in page order (parent, tag, classes) and the text pieces of each block.
+
+    Open elements are found by their tag's own list of depths and by the innermost
+    block at each depth, so a page of any nesting is read in time linear in its length.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.role, self.classes = [-1], ["#page"], [False], [""]
         self.holds_main = [False]
-        self.stack = [0]
+        self.stack, self.inner = [0], [0]
+        self.depths: dict[str, list[int]] = {}
         self.children: dict[int, list[str]] = {}
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []
         self.pieces: list[tuple[int, str]] = []
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section counts as a comment up to the next ``>``, whatever it holds."""
+        return self.parse_bogus_comment(i, 0)
+
     def _flush(self) -> None:
         if self.pieces:
-            owner = next((e for e in reversed(self.stack) if self.tag[e] in BLOCKS), 0)
-            self.blocks.append((owner, self.pieces))
+            self.blocks.append((self.inner[-1], self.pieces))
             self.pieces = []
 
-    def _pop_to(self, names, border=()) -> None:
+    def _innermost(self, names) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def _close(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        if self.inner[-1] != self.inner[depth - 1]:
+            self._flush()
+        while len(self.stack) > depth:
+            self.depths[self.tag[self.stack.pop()]].pop()
+            self.inner.pop()
+
+    def _close_innermost(self, names, border=()) -> None:
         """Close the innermost open element of these names, unless a border element is open inside it."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in names:
-                if any(self.tag[e] in BLOCKS for e in self.stack[depth:]):
-                    self._flush()
-                del self.stack[depth:]
-                return
-            if tag in border:
-                return
+        depth = self._innermost(names)
+        if depth > (self._innermost(border) if border else 0):
+            self._close(depth)
+
+    def _close_block(self, names) -> None:
+        """Close the innermost block if it has one of these names."""
+        if self.tag[self.inner[-1]] in names:
+            self._close(self._innermost({self.tag[self.inner[-1]]}))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._flush()
             if tag not in ("html", "body"):
-                self._pop_to({"p"}, BLOCKS - {"p"})
+                self._close_block({"p"})
             if tag in HEADINGS:
-                self._pop_to(HEADINGS, BLOCKS - HEADINGS)
+                self._close_block(HEADINGS)
         if tag in CLOSED_BY:
             names, border = CLOSED_BY[tag]
-            self._pop_to(names, border)
+            self._close_innermost(names, border)
         if tag == "br":
             self.pieces.append((self.stack[-1], " "))
         own = len(self.tag)
@@ -149,7 +171,7 @@ class Page(HTMLParser):
         self.parent.append(self.stack[-1])
         self.tag.append(tag)
         names = classes.split()
-        if not (tag in ("section", "li") or "section" in names) or not any(self.tag[e] in MAIN for e in self.stack):
+        if not (tag in ("section", "li") or "section" in names) or not self._innermost(MAIN):
             # Ids of sections and items of an article are made from their headings.
             names += (given.get("id") or "").lower().split()
         named = tag in CONTAINERS and any(map(names_role, names))
@@ -158,26 +180,36 @@ class Page(HTMLParser):
         self.holds_main.append(False)
         self.children.setdefault(self.stack[-1], []).append(tag)
         if tag in MAIN:
-            for e in self.stack:
+            for e in reversed(self.stack):
+                if self.holds_main[e]:  # so do all above it
+                    break
                 self.holds_main[e] = True
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.stack))
             self.stack.append(own)
+            self.inner.append(own if tag in BLOCKS else self.inner[-1])
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self._flush()
         if tag not in VOID:
-            self._pop_to({tag})
+            self._close_innermost({tag})
 
     def handle_data(self, data):
         self.pieces.append((self.stack[-1], data))
 
 
+def _whole_tags(html: str) -> str:
+    """The page without a tag that its end cuts off: what follows the last ``>`` is read up to the next opening of a tag."""
+    end = html.rfind(">") + 1
+    cut = re.compile(r"<(?=[A-Za-z/!?]|\Z)").search(html, end)
+    return html[: cut.start()] if cut else html
+
+
 def read_page(html: str) -> list[tuple[int, int, int, int, int, str]]:
     """(path, branch, presentation of the branch, text hash, state, text) of every block with text, in page order."""
     page = Page()
-    last = html.rfind("<")
-    page.feed(html[:last] if last >= 0 and ">" not in html[last:] and re.match(r"<([A-Za-z/!?]|\Z)", html[last:]) else html)
+    page.feed(_whole_tags(html))
     page.close()
     page._flush()
     count = len(page.tag)
@@ -190,6 +222,7 @@ def read_page(html: str) -> list[tuple[int, int, int, int, int, str]]:
         main[e] = "" if dropped[e] else tag if tag == "article" or tag == "main" and main[up] != "article" else main[up]
         plain[e] = tag in MAIN or plain[up] and (tag not in BLOCKS or tag in PLAIN and not page.classes[e])
     wanted = next((m for m in MAIN if m in main), "")
+    shapes: dict[int, int] = {}
     out = []
     for owner, pieces in page.blocks:
         kept = " ".join("".join(t for e, t in pieces if not dropped[e]).split())
@@ -201,8 +234,9 @@ def read_page(html: str) -> list[tuple[int, int, int, int, int, str]]:
         else:
             state = KEPT if wanted and plain[owner] else OPEN
         branch = max(page.parent[owner], 0)
-        runs = [t for i, t in enumerate(page.children.get(branch, ())) if not i or page.children[branch][i - 1] != t]
-        out.append((path[owner], path[branch], digest(*runs), digest(whole), state, kept if state else None))
+        if branch not in shapes:
+            shapes[branch] = digest(*(t for t, _ in groupby(page.children.get(branch, ()))))
+        out.append((path[owner], path[branch], shapes[branch], digest(whole), state, kept if state else None))
     return out
 
 
