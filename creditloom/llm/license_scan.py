@@ -3,19 +3,21 @@
 Phrases are found where their words stand consecutively. Notices are found with
 a bounded number of edits: a notice is split into ``edits + 1`` pieces, of which
 at least one must occur unchanged (pigeonhole); every occurrence of a piece
-opens a window, overlapping windows of a notice are merged, and only these
-windows go through the regex library's bounded-error matching, which reports
-the span and the edits of the best match; the parts in front of and behind it
-are searched in the same way.
+opens a window, and only these windows go through the regex library's
+bounded-error matching, which reports the span and the edits of the best match.
+Matches are taken by their edits, and what they leave free of a window is searched again.
 
 Whole texts are read, as UTF-8 bytes with A-Z lowered, in Arrow batches; no row
 moves. A null text is an empty one: no words, no labels, score 0. Spans are
 character offsets. A notice that several spans match yields every one of them;
-of overlapping spans the best.
+of overlapping spans the best. Repeated rows are scanned each for itself, a text of
+megabytes with a notice on every line takes time in proportion; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,43 +90,63 @@ class NoticeFinder:
         if seeds:
             self.seeds.make_automaton()
 
-    def windows(self, low: str) -> dict[int, list[list[int]]]:
-        """Merged windows by notice: a match must lie within one of them."""
-        found: dict[int, list[tuple[int, int]]] = {}
+    def windows(self, low: str) -> dict[int, list[tuple[int, int]]]:
+        """Window of every seed by notice: a match must lie within that of one of its seeds."""
+        found: dict[int, set[tuple[int, int]]] = {}
         if not len(self.seeds):
             return {}
         for end, (length, places) in self.seeds.iter(low):
             for k, at in places:
                 n = self.notices[k]
                 begin = end + 1 - length - at
-                found.setdefault(k, []).append((max(0, begin - n.edits), begin + len(n.text) + n.edits))
-        merged = {}
-        for k, spans in found.items():
-            out: list[list[int]] = []
-            for low_end, high_end in sorted(spans):
-                if out and low_end <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], high_end)
-                else:
-                    out.append([low_end, high_end])
-            merged[k] = out
-        return merged
+                found.setdefault(k, set()).add((max(0, begin - n.edits), min(len(low), begin + len(n.text) + n.edits)))
+        return {k: sorted(spans) for k, spans in found.items()}
 
     def find(self, low: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits) of every verified match, by notice and place."""
         out = []
         for k, spans in self.windows(low).items():
-            notice = self.notices[k]
-            found, free = [], [(begin, min(end, len(low))) for begin, end in spans]
-            while free:
-                begin, end = free.pop()
-                m = self.patterns[k].search(low, begin, end) if end - begin >= len(notice.text) - notice.edits else None
-                # The best match of a part hides weaker ones on both of its sides.
-                if m and m.end() > m.start():
-                    found.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    free += [(begin, m.start()), (m.end(), end)]
-            out += sorted(found, key=lambda s: s[1])
+            out += [(self.notices[k].label, start, end, edits) for start, end, edits in self._verified(k, spans, low)]
         return out
 
+    def _verified(self, k: int, windows: list[tuple[int, int]], low: str) -> list[tuple[int, int, int]]:
+        """Non-overlapping matches, those of fewest edits first, then from the left.
+
+        Each window offers its best match; when that overlaps one already taken,
+        the window's free parts are searched instead. A window holds few matches, so it is searched few times.
+        """
+        least = len(self.notices[k].text) - self.notices[k].edits
+        offers: list[tuple[int, int, int, int, int]] = []
+
+        def look(begin: int, end: int) -> None:
+            m = self.patterns[k].search(low, begin, end) if end - begin >= max(least, 1) else None
+            if m and m.end() > m.start():
+                heapq.heappush(offers, (sum(m.fuzzy_counts), m.start(), m.end(), begin, end))
+
+        for window in windows:
+            look(*window)
+        starts: list[int] = []
+        taken: list[tuple[int, int, int]] = []
+        while offers:
+            edits, start, end, begin, stop = heapq.heappop(offers)
+            # Taken matches do not overlap, so those that meet the window are neighbours in order.
+            at = max(bisect.bisect_right(starts, begin) - 1, 0)
+            inside = []
+            while at < len(taken) and taken[at][0] < stop:
+                if taken[at][1] > begin:
+                    inside.append(taken[at])
+                at += 1
+            if all(e <= start or s >= end for s, e, _ in inside):
+                where = bisect.bisect_right(starts, start)
+                starts.insert(where, start)
+                taken.insert(where, (start, end, edits))
+                inside = sorted([*inside, (start, end, edits)])
+            for s, e, _ in inside:
+                look(begin, min(s, stop))
+                begin = max(begin, e)
+            look(begin, stop)
+        return taken
+
     def score(self, label: str, edits: int) -> float:
         return max(1 - edits / len(n.text) for n in self.notices if n.label == label)
 
