@@ -42,6 +42,7 @@ Q = 8
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
 STRETCH = 1 << 18
+PAIRS = 1 << 21
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier of the rolling hash
 _BLANKS = "\t\n\r\x0b\x0c"
@@ -82,6 +83,52 @@ def budget(length: int) -> int:
     return max(0, min(int(RATE * length), (length - Q) // Q))
 
 
+class _Seen:
+    """Where each q-gram of the index occurs in a text.
+
+    A q-gram of a run of one character occurs at very many places of text and item;
+    all pairs of them are never listed: a place of an item meets at most as many
+    bands as the text has steps, and each of them is looked up.
+    """
+
+    def __init__(self, places: np.ndarray, count: np.ndarray, width: int):
+        self.places, self.count, self.width = places, count, width
+        self.first = np.cumsum(count) - count
+        self.keys = np.repeat(np.arange(len(count)), count) * width + places
+
+    def _reach(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.places[self.first[gram]], self.places[self.first[gram] + self.count[gram] - 1]
+
+    def most_bands(self, gram: np.ndarray, step: np.ndarray) -> np.ndarray:
+        low, high = self._reach(gram)
+        return np.minimum(self.count[gram], (high - low) // step + 2)
+
+    def bands(self, gram: np.ndarray, place: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, band): the bands of diagonals in which each row's q-gram occurs."""
+        low, high = self._reach(gram)
+        lowest, highest = (low - place) // step, (high - place) // step
+        listed = self.count[gram] <= highest - lowest + 1
+        rows, found = [], []
+        row, nth = _expanded(np.flatnonzero(listed), self.count[gram[listed]])
+        rows.append(row)
+        found.append((self.places[self.first[gram[row]] + nth] - place[row]) // step[row])
+        row, nth = _expanded(np.flatnonzero(~listed), (highest - lowest + 1)[~listed])
+        band = lowest[row] + nth
+        begin = np.maximum(place[row] + band * step[row], 0)
+        own = gram[row] * self.width
+        at = np.searchsorted(self.keys, own + begin)
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] - own
+        there = (at < len(self.keys)) & (hit < np.minimum(place[row] + (band + 1) * step[row], self.width)) & (hit >= begin)
+        rows.append(row[there])
+        found.append(band[there])
+        return np.concatenate(rows), np.concatenate(found)
+
+
+def _expanded(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as asked for, and the number of the repetition."""
+    return np.repeat(rows, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
 @dataclass
 class Index:
     """Q-grams of a block of items: a bitmap, the sorted distinct hashes and their places."""
@@ -124,19 +171,37 @@ class Index:
         slot[slot == len(self.hashes)] = 0
         real = self.hashes[slot] == own[at]
         at, slot = at[real], slot[real]
-        many = self.starts[slot + 1] - self.starts[slot]
-        hits = np.repeat(self.starts[slot] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, place = self.owner[hits], self.place[hits]
-        # An item with fewer hits than its bound anywhere in the text has no band.
-        full = np.bincount(item, minlength=len(self.items)) >= self.bound
-        keep = full[item]
-        item, place = item[keep], place[keep]
-        diagonal = np.repeat(at, many)[keep] - place
-        band = diagonal // self.step[item]
+        # Places of each shared q-gram in the text, by q-gram and ascending.
+        slots, rank, count = np.unique(slot, return_inverse=True, return_counts=True)
+        seen = _Seen(at[np.argsort(rank, kind="stable")], count, len(chars) + 1)
+        many = self.starts[slots + 1] - self.starts[slots]
+        entry = np.repeat(self.starts[slots] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        gram, item = np.repeat(np.arange(len(slots)), many), self.owner[entry]
+        # An item with fewer places that occur anywhere in the text than its bound has no band.
+        keep = (np.bincount(item, minlength=len(self.items)) >= self.bound)[item]
+        order = np.flatnonzero(keep)[np.argsort(item[keep], kind="stable")]
+        gram, item, place = gram[order], item[order], self.place[entry[order]]
+        size = seen.most_bands(gram, self.step[item])
+        out, begin = [], 0
+        total = np.cumsum(size)
+        ends = np.flatnonzero(np.append(item[1:] != item[:-1], True)) + 1 if len(item) else []
+        for k, end in enumerate(ends):  # whole items, as many as fit into PAIRS
+            after = ends[k + 1] if k + 1 < len(ends) else None
+            if after is None or total[after - 1] - (total[begin - 1] if begin else 0) > PAIRS:
+                out += self._bands_of(seen, gram[begin:end], item[begin:end], place[begin:end])
+                begin = end
+        return out
+
+    def _bands_of(self, seen: _Seen, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """Bands of some items from all places of theirs that occur in the text."""
+        step = self.step[item]
+        row, band = seen.bands(gram, place, step)
+        item, place = item[row], place[row]
         low = band.min(initial=0) - 1
         span = band.max(initial=0) - low + 2
+        width = self.length.max(initial=0) + 1
         key = np.concatenate([item * span + band - low, item * span + band - 1 - low])
-        key = np.unique(key * (self.length.max(initial=0) + 1) + np.concatenate([place, place])) // (self.length.max(initial=0) + 1)
+        key = np.unique(key * width + np.concatenate([place, place])) // width
         found, counts = np.unique(key, return_counts=True)
         owner = found // span
         good = counts >= self.bound[owner]
