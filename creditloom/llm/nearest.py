@@ -3,13 +3,13 @@
 Largest inner product becomes smallest distance by one more coordinate: with M
 the largest norm, a vector x is lengthened by sqrt(M^2 - |x|^2) to norm M, and a
 query is scaled to norm M and lengthened by 0. PROJECTED Gaussian (2-stable)
-projections of the lengthened vectors are held in a kd-tree. Its leaves are
-visited by their projected distance from the query, and the rows in them are
-verified on the original vectors. The squared projected distance of a row, in
-units of its squared true distance, follows a chi-square law; so once the next
-leaf lies beyond the CONFIDENCE quantile times the squared distance of the k-th
-best row, every better row would have been seen with at least that probability,
-and the search stops.
+projections of the lengthened vectors are held in a kd-tree, which yields rows
+one after the other by their projected distance from the query: leaves are opened
+by the distance of their box, and rows nearer than the next leaf are verified on
+the original vectors. The squared projected distance of a row, in units of its
+squared true distance, follows a chi-square law; so once the next row lies beyond
+the CONFIDENCE quantile times the squared distance of the k-th best row, every
+better row would have been seen with at least that probability, and the search stops.
 
 Rows are dealt to blocks by a hash, queries too; every pair of a query block and
 a row block is one task group with a tree of its own, so all rows are indexed and
@@ -32,9 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTED = 8
+PROJECTED = 24
 CONFIDENCE = 0.95
 LEAF = 64
+VERIFIED = 32  # rows between two looks at the bound
 ROWS, QUERIES = 8192, 4096
 
 
@@ -74,6 +75,7 @@ class Tree:
             order = own[:, axis].argpartition(half)
             todo += [rows[order[:half]], rows[order[half:]]]
         self.order = np.concatenate(leaves)
+        self.points = points[self.order]
         self.edges = np.concatenate([[0], np.cumsum([len(x) for x in leaves])])
         self.low = np.stack([points[x].min(axis=0) for x in leaves])
         self.high = np.stack([points[x].max(axis=0) for x in leaves])
@@ -96,29 +98,48 @@ class BlockIndex:
         self.stop = chi_square_quantile(confidence, PROJECTED)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and inner products of the best rows found, best first, and how many rows were verified."""
+        """Ids and inner products of the best rows found, best first, and how many rows were verified.
+
+        Rows are verified in the order of their projected distance: those of the
+        opened leaves that lie nearer than the next leaf are known to be next.
+        """
         norm = np.sqrt((query * query).sum())
-        leaves, distance = self.tree.nearest_leaves((query * (self.largest / norm)) @ self.plane[:-1])
+        point = (query * (self.largest / norm)) @ self.plane[:-1]
+        leaves, distance = self.tree.nearest_leaves(point)
         ids, scores = np.empty(0, np.int64), np.empty(0)
-        at, batch, worst, seen = 0, 4, np.inf, 0
-        while at < len(leaves) and distance[at] < self.stop * worst:
-            until = at + batch
-            if worst < np.inf:
-                until = min(until, int(np.searchsorted(distance, self.stop * worst)))
-            spans = [slice(self.tree.edges[x], self.tree.edges[x + 1]) for x in leaves[at:until]]
-            found = np.concatenate([self.ids[s] for s in spans])
-            # A row's own sum, not a matrix product: equal vectors get equal scores.
-            values = np.concatenate([(self.vectors[s] * query).sum(axis=1) for s in spans])
-            seen += len(found)
-            other = found != query_id
-            ids, scores = np.concatenate([ids, found[other]]), np.concatenate([scores, values[other]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                worst = 2 * self.largest**2 - 2 * self.largest * scores.min() / norm
-                worst = max(worst, 1e-12 * self.largest**2)
-            at, batch = until, batch * 2
+        worst, seen, opened, batch = np.inf, 0, 0, 2
+        waiting, behind = np.empty(0, np.int64), np.empty(0)
+        while True:
+            # Open leaves up to the bound, then verify what lies before the next unopened one.
+            until = min(opened + batch, len(leaves), int(np.searchsorted(distance, self.stop * worst)))
+            if until > opened:
+                rows = np.concatenate([np.arange(self.tree.edges[x], self.tree.edges[x + 1]) for x in leaves[opened:until]])
+                gap = self.tree.points[rows] - point
+                waiting, behind = np.concatenate([waiting, rows]), np.concatenate([behind, (gap * gap).sum(axis=1)])
+                order = behind.argsort(kind="stable")
+                waiting, behind = waiting[order], behind[order]
+                opened, batch = until, batch * 2
+            near = distance[opened] if opened < len(leaves) else np.inf
+            ready = int(np.searchsorted(behind, min(near, self.stop * worst), side="right" if near < self.stop * worst else "left"))
+            done = 0
+            while done < ready and behind[done] < self.stop * worst:
+                part = waiting[done : min(done + VERIFIED, ready)]
+                part = part[: max(1, int(np.searchsorted(behind[done : done + len(part)], self.stop * worst)))]
+                found = self.ids[part]
+                # A row's own sum, not a matrix product: equal vectors get equal scores.
+                values = (self.vectors[part] * query).sum(axis=1)
+                seen, done, other = seen + len(part), done + len(part), found != query_id
+                ids, scores = np.concatenate([ids, found[other]]), np.concatenate([scores, values[other]])
+                if len(ids) > k:
+                    best = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[best], scores[best]
+                if len(ids) == k:
+                    worst = 2 * self.largest**2 - 2 * self.largest * scores.min() / norm
+                    worst = max(worst, 1e-12 * self.largest**2)
+            waiting, behind = waiting[done:], behind[done:]
+            bound = self.stop * worst
+            if (opened >= len(leaves) or distance[opened] >= bound) and (not len(behind) or behind[0] >= bound):
+                break
         best = np.lexsort((ids, -scores))
         return ids[best], scores[best], seen
 
