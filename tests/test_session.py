@@ -14,7 +14,11 @@ from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "Asia/Tokyo").getOrCreate())
 sys.path.insert(0, sys.argv[1])
+from creditloom.operators import model
 from creditloom.plans import QUERIES
+learners, importance = model.learners, model.tree_importance
+model.learners = lambda: learners(trees=3, rounds=3, depth=3)
+model.tree_importance = lambda rows, features, depth=3: importance(rows, features, rounds=3, depth=3)
 print("rows", QUERIES["tree_shap_values"].build(spark, "/root/testdata/sf0.001").count())
 print("rows", QUERIES["officer_windows_stream"].build(spark, "/root/testdata/sf0.001").count())
 """
