@@ -254,7 +254,73 @@ def op12_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query()
+def _consumed(state: int) -> str:
+    """Cheapest, then ASCII-least way to work off row m in a state without an insertion; b holds the ways of the rows behind it."""
+
+    def way(cost: str, letter: str, line: str | None, to: int) -> str:
+        lines = f"list_prepend({line}, b.s{to}.t)" if line else f"b.s{to}.t"
+        return "{'c': b.s%d.c + %s, 'a': '%s' || b.s%d.a, 't': %s}" % (to, cost, letter, to, lines)
+
+    options = [f"[{way('3', 'D', None, state)}]"]
+    for kind, initial in enumerate("sua"):
+        to = dialogue_repair.KEPT[kind][state]
+        if to is not None:
+            options.append(f"case when m.i = '{initial}' and m.f < 2 then [{way('m.f', 'K', 'm.line', to)}] else [] end")
+            if kind:
+                line = f"'{dialogue_repair.ROLE[to]}:' || m.text"
+                options.append(f"case when m.f < 2 then [{way('2 + m.f', 'R', line, to)}] else [] end")
+    return f"list_sort(flatten([{', '.join(options)}]))[1]"
+
+
+def _inserted(state: int) -> str:
+    """The better of going on in a state and of one or two insertions first."""
+    one = dialogue_repair.INSERTED[state]
+    two = dialogue_repair.INSERTED[one]
+    first, second = (f"'{dialogue_repair.ROLE[x]}:'" for x in (one, two))
+    once = "{'c': c%d.c + 2, 'a': 'I' || c%d.a, 't': list_prepend(%s, c%d.t)}" % (one, one, first, one)
+    twice = "{'c': c%d.c + 4, 'a': 'II' || c%d.a, 't': list_prepend(%s, list_prepend(%s, c%d.t))}" % (two, two, first, second, two)
+    return f"list_sort([c{state}, {once}, {twice}])[1]"
+
+
+OP13_SQL = rf"""
+with recursive {_CRC},
+raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+keyed as (select raw.*, {_crc_sql("k")} % 20 as fate from raw, crc_bits),
+damaged as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+    case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when fate = 3 then 2 else 1 end)) as copy from keyed where fate <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as rn,
+    count(*) over (partition by conv_id) as n, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from damaged),
+seen as (select *, row_number() over (partition by conv_id, role, text order by rn) as nth from placed),
+marked as (
+  select *, substr(role, 1, 1) as i, role || ':' || text as line, lag(substr(role, 1, 1)) over (partition by conv_id order by rn) as h,
+    case when bare = '' then 2 when nth > 1 then 3 when right(bare, 1) not in ('.', '!', '?') then 1 else 0 end as f from seen),
+best(conv_id, k, s0, s1, s2, s3) as (
+  select conv_id, 0::bigint, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}},
+    {{'c': 4::bigint, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 2::bigint, 'a': 'I', 't': ['assistant:']}},
+    {{'c': 0::bigint, 'a': '', 't': []::varchar[]}} from (select distinct conv_id from marked)
+  union all
+  select conv_id, k, {", ".join(_inserted(q) for q in range(4))} from (
+    select b.conv_id, b.k + 1 as k, {", ".join(f"{_consumed(q)} as c{q}" for q in range(4))}
+    from best b join marked m on m.conv_id is not distinct from b.conv_id and m.rn = m.n - b.k)),
+figures as (
+  select conv_id, max(n) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where f = 2) as blank,
+    count(*) filter (where f = 3) as duplicate, count(*) filter (where f = 1) as truncated,
+    count(*) filter (where h is not null and h || i not in ('su', 'ua', 'au')) as illegal from marked group by conv_id),
+done as (
+  select g.*, s0.c as cost, s0.a as audit, sha256(array_to_string(s0.t, chr(10))) as hash
+  from figures g join best b on b.conv_id is not distinct from g.conv_id and b.k = g.n)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+  coalesce(audit, '') as audit, coalesce(hash, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join done d on d.conv_id is not distinct from o.conv_id
+"""
+
+
+@query(OP13_SQL)
 def op13_dialogue_repair(spark, sf_dir):
     """Cheapest repair of every conversation after planted damage."""
     damaged = dialogue_repair.damage(table(spark, sf_dir, "conversations"))
