@@ -135,6 +135,7 @@ class Index:
 
     ids: list[int]
     items: list[np.ndarray]
+    times: list[int] | None = None  # how often each item stands in the benchmark; once if not given
 
     def __post_init__(self):
         sizes = [max(0, len(x) - Q + 1) for x in self.items]
@@ -278,13 +279,17 @@ def _last_row(item: np.ndarray, text: np.ndarray, free_start: bool) -> np.ndarra
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The items' indexes, one block after the other; a block holds about BLOCK_CHARS characters."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("length(text) > 0")
+    """The items' indexes, one block after the other; a block holds about BLOCK_CHARS characters.
+
+    Rows that repeat both id and text are one item with a count, so they cannot fill a block.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("length(text) > 0")
+    items = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, -(-total // BLOCK_CHARS))
     for b in range(count):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).orderBy("item_id", "text").collect()
-        yield Index([r[0] for r in rows], [codes(r[1].encode()) for r in rows])
+        yield Index([r[0] for r in rows], [codes(r[1].encode()) for r in rows], [r[2] for r in rows])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -302,6 +307,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     (doc, index.ids[i], start, end, edits)
                     for doc, text in zip(ids, texts(batch, "text"), strict=True)
                     for i, start, end, edits in index.matches(codes(text))
+                    for _ in range(index.times[i])
                 ]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
