@@ -2,6 +2,13 @@
 
 Each stage takes what its predecessor kept and is written as Parquet before the
 next one reads it, so a lost executor costs at most a part of one stage.
+
+Defined cases: a null text is scored like an empty one, has no shingles (so no
+near-duplicate), repeats no item and gets null ids and a null count; a null id
+takes part like any other; of rows that repeat id and words one stays; an empty
+table passes as an empty table. Columns beyond id and text go through all stages
+unread, whatever their names; in the last one ``ids`` takes the place of the text
+and ``n_tokens`` is added, columns of these names are replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ sign itself, if a text holds it, and control pieces' names are spelled in bytes
 or ordinary pieces, so decoding gives back exactly the text.
 
 Whole texts are read in Arrow batches; no row moves. A null text has null ids and
-decodes to null; an empty text has no ids.
+decodes to null; an empty text has no ids. Repeated rows are encoded each for
+itself; a column that already has the name of the result is replaced, all others stay.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ of every document inside Arrow batches; it moves no row.
 Defined cases: a null text is scored like an empty one; an empty or short text
 is padded with zero bytes to one chunk; without a label of each kind
 the score is the share of label 1 (0.5 without labels); a null or ambiguous
-label (several values for one id) is not learned from.
+label (several values for one id) is not learned from. Repeated rows are scored
+each for itself and learned from once; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A text is lowered as the vocabulary is, split at white space and between letters
 digits and other signs; each of these words is counted, and the counts of common
 words are remembered up to CACHE words. A word that has no segmentation counts
 as one unknown token. Whole texts are read in Arrow batches; no row moves. Null
-and empty texts have no words and no tokens.
+and empty texts have no words and no tokens; repeated rows are counted each for
+itself, other columns are not read.
 """
 
 from __future__ import annotations
