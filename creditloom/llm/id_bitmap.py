@@ -1,9 +1,9 @@
 """A bitmap of ids that lets most rows of a large table pass without being moved.
 
-Ids are hashed to BITS positions and kept as at most BITS / 32768 rows of 4 kB (8 MB),
-however many ids there are, so the bitmap can be broadcast. A row whose bit is
-not set has none of the ids; one whose bit is set may have one and goes through
-an exact join. With very many ids the bitmap fills up and more rows move; nothing else changes.
+Ids are hashed to positions, about SPARE for each id and at most MOST (32 MB of
+bits), in rows of 4 kB, so the bitmap can be broadcast. A row whose bit is not
+set has none of the ids; one whose bit is set may have one and goes through an
+exact join. With very many ids the bitmap fills up and more rows move; nothing else changes.
 """
 
 from __future__ import annotations
@@ -11,24 +11,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 26
+SPARE, LEAST, MOST = 64, 1 << 18, 1 << 28
 _ROW = 1 << 15
 
 
-def _position(id_col: Column) -> Column:
-    return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(BITS))
+def _position(id_col: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(id_col.cast("long")), F.lit(bits))
 
 
-def bitmap(ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows ``__bucket``, ``__bits`` of the positions of all ids."""
-    at = ids.select(_position(F.col(id_col)).alias("at"))
+def bits_for(count: int) -> int:
+    return min(max(1 << (SPARE * count).bit_length(), LEAST), MOST)
+
+
+def bitmap(ids: DataFrame, id_col: str, bits: int) -> DataFrame:
+    """Rows ``__bucket``, ``__bits`` of the positions of all ids.
+
+    Positions are gathered by row first, so that a row of 4 kB is made once and not by every task.
+    """
+    at = ids.select(_position(F.col(id_col), bits).alias("at")).distinct()
     spread = at.select(F.shiftright("at", 15).alias("__bucket"), F.col("at").bitwiseAND(F.lit(_ROW - 1)).alias("inside"))
-    return spread.groupBy("__bucket").agg(F.bitmap_construct_agg("inside").alias("__bits"))
+    return spread.repartition("__bucket").groupBy("__bucket").agg(F.bitmap_construct_agg("inside").alias("__bits"))
 
 
-def split(rows: DataFrame, id_col: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may have one of the ids, and rows that have none; no row is moved."""
-    at = _position(F.col(id_col))
+def split(rows: DataFrame, id_col: str, ids: DataFrame, ids_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the ids, and rows that have none; no row is moved. ``ids`` is a written table."""
+    size = bits_for(ids.count())
+    bits = bitmap(ids, ids_col, size)
+    at = _position(F.col(id_col), size)
     inside = at.bitwiseAND(F.lit(_ROW - 1)).cast("int")
     marked = rows.withColumns({"__at": F.shiftright(at, 15), "__inside": inside})
     joined = marked.join(F.broadcast(bits), F.col("__at") == F.col("__bucket"), "left")

@@ -231,7 +231,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     own = materialize(own, "own")
     ids = own.select("doc_id").distinct()
     readable = docs.select(F.col("doc_id").cast("long"), "text")
-    near, _ = id_bitmap.split(readable, "doc_id", id_bitmap.bitmap(ids, "doc_id"))
+    near, _ = id_bitmap.split(readable, "doc_id", own, "doc_id")
     read = full_sets(near.join(ids, near["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi"))
     sets = materialize(read.join(own.select("key", "node"), "key").dropDuplicates(["key"]).drop("key"), "sets")
     discard(own)
@@ -257,6 +257,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # Cells are searched by signatures first; sets follow only for members that have a partner.
     cells = _cells(open_lists(posts, roots)).join(wanted.select("node", "n", "sig", "posted"), "node")
     place = "value long, i int, j int, node long, root long, left boolean, right boolean"
+    # Few bytes and much work in a cell: a fixed number of partitions, which adaptive execution does not merge by size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "value", "i", "j")
     met = materialize(cells.groupBy("value", "i", "j").applyInPandas(with_partner, place), "met")
     discard(posts)
     if met.isEmpty():
@@ -303,7 +306,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # Only rows whose id may belong to a row that goes, or occurs several times, are joined; all others stay where they are.
     others = marked.filter("not (kept or n_shingles = 0)").select("doc_id").union(repeats).distinct()
     others = materialize(others.withColumnRenamed("doc_id", "__other_id"), "others")
-    near, far = id_bitmap.split(docs, "doc_id", id_bitmap.bitmap(others, "__other_id"))
+    near, far = id_bitmap.split(docs, "doc_id", others, "__other_id")
     once = far.union(near.filter("doc_id is not null").join(others, F.col("doc_id") == F.col("__other_id"), "left_anti"))
     if repeats.isEmpty():
         return once

@@ -131,10 +131,10 @@ def test_repeated_items_each_match(spark):
 def test_bitmap_lets_no_id_pass(spark):
     rows = spark.range(-500, 3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("__at")).union(spark.sql("select cast(null as bigint), 'n'"))
     ids = spark.createDataFrame([(k,) for k in range(-20, 2000, 7)] + [(None,)], "i long")
-    near, far = id_bitmap.split(rows, "doc_id", id_bitmap.bitmap(ids, "i"))
+    near, far = id_bitmap.split(rows, "doc_id", ids, "i")
     wanted = {r.i for r in ids.collect()}
     inside, outside = [r.doc_id for r in near.collect()], [r.doc_id for r in far.collect()]
     assert wanted <= set(inside) and not wanted & set(outside) and len(inside) + len(outside) == 3501
-    assert len(inside) < len(wanted) + 20
-    none, every = id_bitmap.split(rows, "doc_id", id_bitmap.bitmap(ids.limit(0), "i"))
+    assert len(inside) < len(wanted) + 20 and id_bitmap.bits_for(10**12) == id_bitmap.MOST
+    none, every = id_bitmap.split(rows, "doc_id", ids.limit(0), "i")
     assert none.isEmpty() and every.count() == 3501
