@@ -31,7 +31,7 @@ from creditloom.plans.evaluate_queries import FOLD_HASH, FOLD_NUMBER, SAMPLE_CTE
 from creditloom.plans.feature_queries import feature_rows
 from creditloom.plans.registry import query as registered
 from creditloom.plans.registry import with_views
-from creditloom.session import materialize, scratch_path
+from creditloom.session import is_there, materialize, scratch_path
 from creditloom.sources.tables import read_feature_list
 from creditloom.streaming.jobs import score_batches
 from creditloom.streaming.tables import appended, run_to_table
@@ -52,13 +52,20 @@ _STORED: dict[tuple[str, str, str], object] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """Result of an earlier step of this session over the same folder, built when it is wanted first."""
+    """Result of an earlier step of this session over the same folder; built when it is wanted first, or its files are gone."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at not in _STORED:
+    if at not in _STORED or not all(is_there(spark, path) for path in _files(_STORED[at])):
         _STORED[at] = build()
     return _STORED[at]
 
 
+def _files(result) -> list[str]:
+    """Folders that a stored result reads."""
+    parts = result if isinstance(result, tuple) else (result,)
+    named = [p for p in parts if isinstance(p, str)]
+    return named + [p._scratch_path for p in parts if getattr(p, "_scratch_path", None)]
+
+
 def _truth(spark: SparkSession, **checks) -> DataFrame:
     """One row of named results."""
     kinds = {bool: "boolean", int: "bigint"}
@@ -316,7 +323,10 @@ def _fold_scores(spark, sf_dir) -> DataFrame:
     """Out-of-fold scores of the three families at the reference's settings."""
 
     def build() -> DataFrame:
-        return tr.out_of_fold(_vectors(spark, sf_dir), model.learners(), scratch_path(spark, "folds"), FOLDS, parallelism=5)
+        path = scratch_path(spark, "folds")
+        scores = tr.out_of_fold(_vectors(spark, sf_dir), model.learners(), path, FOLDS, parallelism=5)
+        scores._scratch_path = path
+        return scores
 
     return stored(spark, sf_dir, "fold-scores", build)
 

@@ -87,12 +87,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the store that the path names."""
+    files, at = _located(spark, path)
+    return files.exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these tables, once nothing reads them any more."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            files, at = _located(df.sparkSession, path)
+            files.delete(at, True)
             df._scratch_path = None

@@ -45,3 +45,14 @@ def test_rows_are_assembled_once(spark, sf001):
     before = model_queries._rows(spark, sf001)
     assert model_queries._rows(spark, sf001) is before
     assert before.where("is_train and fold is not null").count() == before.where("fold is not null").count()
+
+
+def test_results_whose_files_are_gone_are_built_again(spark, sf001):
+    from creditloom.session import discard
+
+    first = model_queries._votes(spark, sf001)
+    wanted = sorted(map(tuple, first.collect()))
+    path = first._scratch_path
+    discard(first)
+    first._scratch_path = path
+    assert sorted(map(tuple, model_queries._votes(spark, sf001).collect())) == wanted
