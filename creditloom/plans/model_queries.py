@@ -587,7 +587,7 @@ def platt_check(spark, sf_dir):
     "T01, C09",
     with_views(["application_train"], "select SK_ID_CURR, true as as_in_batch, true as stable from split where rn>nt", [SAMPLE_CTE]),
 )
-def pipeline_stream(spark, sf_dir):
+def stored_scorer_stream(spark, sf_dir):
     """Held-out applicants arrive file by file with some features, and get what the stored scorer gives the whole batch.
 
     The stream runs twice over the same checkpoint and result table: the second run must change nothing.
