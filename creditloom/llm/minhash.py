@@ -174,8 +174,9 @@ def _cells(lists: DataFrame) -> DataFrame:
     placed = lists.select("*", outside.alias("outside"), place("few").alias("own_i"), place("n").alias("own_j"))
     left = placed.filter("outside").select("*", F.col("own_i").alias("i"), every("n").alias("j"))
     right = placed.select("*", every("few").alias("i"), F.col("own_j").alias("j")).filter("not outside or i != own_i")
-    return left.select("value", "node", "root", F.lit(True).alias("left"), (F.col("j") == F.col("own_j")).alias("right"), "i", "j").union(
-        right.select("value", "node", "root", F.lit(False).alias("left"), F.lit(True).alias("right"), "i", "j")
+    carried = ["value", "node", "root", "size", "sig", "posted"]
+    return left.select(*carried, F.lit(True).alias("left"), (F.col("j") == F.col("own_j")).alias("right"), "i", "j").union(
+        right.select(*carried, F.lit(False).alias("left"), F.lit(True).alias("right"), "i", "j")
     )
 
 
@@ -187,7 +188,7 @@ def _partners(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     """
     sig = np.stack(frame["sig"].to_list())
     posted_here = (frame["posted"].to_numpy("int64")[:, None] >> np.arange(COORDINATES)) & 1 == 1
-    size, root, value = frame["n"].to_numpy(), frame["root"].to_numpy(), frame["value"].iat[0]
+    size, root, value = frame["size"].to_numpy(), frame["root"].to_numpy(), frame["value"].iat[0]
     left, right = frame["left"].to_numpy(bool), np.flatnonzero(frame["right"].to_numpy(bool))
     most = np.iinfo(np.int64).max
     for a in np.flatnonzero(left):
@@ -203,13 +204,13 @@ def with_partner(frame: pd.DataFrame) -> pd.DataFrame:
     for a, rest in _partners(frame):
         if len(rest):
             seen[a] = seen[rest] = True
-    return frame.loc[seen, ["value", "i", "j", "node", "root", "left", "right"]]
+    return frame.loc[seen, ["value", "i", "j", "node", "root", "left", "right", "size", "sig", "posted"]]
 
 
 def new_links(frame: pd.DataFrame) -> pd.DataFrame:
     """Links between members of different components, as few as join them, from one cell."""
     sets = [np.asarray(s) for s in frame["shingles"]]
-    size, node, links = frame["n"].to_numpy(), frame["node"].to_numpy(), []
+    size, node, links = frame["size"].to_numpy(), frame["node"].to_numpy(), []
     _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
     for a, rest in _partners(frame):
         rest = rest[root[rest] != root[a]]
@@ -255,8 +256,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     roots = materialize(components(links, "hub", "node"), "roots")
     discard(links)
     # Cells are searched by signatures first; sets follow only for members that have a partner.
-    cells = _cells(open_lists(posts, roots)).join(wanted.select("node", "n", "sig", "posted"), "node")
-    place = "value long, i int, j int, node long, root long, left boolean, right boolean"
+    signed = wanted.select("node", F.col("n").alias("size"), "sig", "posted")
+    cells = _cells(open_lists(posts, roots).join(signed, "node"))
+    place = "value long, i int, j int, node long, root long, left boolean, right boolean, size long, sig array<long>, posted long"
     # Few bytes and much work in a cell: a fixed number of partitions, which adaptive execution does not merge by size.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "value", "i", "j")
@@ -266,7 +268,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         discard(met, wanted)
         return roots
     sets = sets_of(docs, met.select("node").distinct(), wanted)
-    full = met.join(wanted.select("node", "n", "sig", "posted"), "node").join(sets, "node")
+    full = met.join(sets, "node")
     more = materialize(full.groupBy("value", "i", "j").applyInPandas(new_links, "hub long, node long"), "more")
     discard(met, wanted, sets)
     if more.isEmpty():
