@@ -163,3 +163,46 @@ def test_elimination_rounds(spark, training):
 
 def test_empty_and_single_jobs():
     assert tr.in_parallel([], 4) == [] and tr.in_parallel([lambda: 1, lambda: 2], 1) == [1, 2]
+
+
+def test_fits_run_on_as_few_partitions_as_the_rows_need(spark, training, monkeypatch):
+    """Every step of a fit starts one task per partition: a small table in many parts must not pay for them."""
+    wide = training.repartition(16)
+    assert model.in_few_parts(wide, model.TREE_ROWS).rdd.getNumPartitions() == 1
+    assert model.in_few_parts(wide, 100).rdd.getNumPartitions() == 4
+    assert model.in_few_parts(wide.limit(0), 100).rdd.getNumPartitions() == 1
+    # Work for all cores keeps them, and very large tables keep parts of LINEAR_ROWS rows.
+    assert model.in_few_parts(wide, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(model, "LINEAR_ROWS", 30)
+    assert model.in_few_parts(wide, 400).rdd.getNumPartitions() == 14
+    monkeypatch.undo()
+
+    used = []
+
+    class Watching(LogisticRegression):
+        def _fit(self, dataset):
+            used.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(model, "LogisticRegression", Watching)
+    design = tr.fit_design(training)
+    rows = tr.feature_rows(training, design)
+    parts = model.assemble(rows, design.features).select("SK_ID_CURR", "TARGET", "features").repartition(16)
+    model.lasso_model(parts)
+    model.elimination_rounds(parts, design.features, keep=len(design.features) - 1, step=1)
+    tr.fit_pipeline(training.repartition(16), design, Watching(labelCol="TARGET", weightCol="weight", maxIter=2))
+    assert used == [1] * 4
+
+
+def test_importances_of_many_parts_are_fitted_in_few(spark, training, monkeypatch):
+    used = []
+
+    class Watching(GBTClassifier):
+        def _fit(self, dataset):
+            used.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(model, "GBTClassifier", Watching)
+    rows = training.select("SK_ID_CURR", "TARGET", "a", "c").repartition(16)
+    got = {r["feature"]: r["importance"] for r in model.tree_importance(rows, ["a", "c"], rounds=2, depth=2).collect()}
+    assert used == [1] and got["a"] > got["c"]
