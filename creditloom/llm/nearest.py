@@ -36,7 +36,7 @@ PROJECTED = 24
 CONFIDENCE = 0.95
 LEAF = 64
 VERIFIED = 64  # rows before the first look at the bound; later a quarter of those seen
-ROWS, QUERIES = 8192, 4096
+ROWS, QUERIES = 16384, 4096
 
 
 def chi_square_below(x: float, degrees: int) -> float:
@@ -76,7 +76,7 @@ class Tree:
             todo += [rows[order[:half]], rows[order[half:]]]
         self.order = np.concatenate(leaves)
         self.points = points[self.order]
-        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in leaves])])
+        self.rows = np.split(np.arange(len(points)), np.cumsum([len(x) for x in leaves])[:-1])
         self.low = np.stack([points[x].min(axis=0) for x in leaves])
         self.high = np.stack([points[x].max(axis=0) for x in leaves])
 
@@ -94,6 +94,7 @@ class BlockIndex:
         self.plane = np.random.default_rng(20).normal(size=(vectors.shape[1] + 1, PROJECTED))
         rest = np.sqrt(np.maximum(largest**2 - (vectors * vectors).sum(axis=1), 0))
         self.tree = Tree(vectors @ self.plane[:-1] + rest[:, None] * self.plane[-1])
+        self.squares = (self.tree.points * self.tree.points).sum(axis=1)
         self.ids, self.vectors = ids[self.tree.order], vectors[self.tree.order]
         self.stop = chi_square_quantile(confidence, PROJECTED)
 
@@ -109,14 +110,18 @@ class BlockIndex:
         ids, scores = np.empty(0, np.int64), np.empty(0)
         worst, seen, opened, batch = np.inf, 0, 0, 2
         waiting, behind = np.empty(0, np.int64), np.empty(0)
+        own, room = (point * point).sum(), 1e-9 * self.largest * norm  # more than products in another order can differ by
         while True:
             # Open leaves up to the bound, then verify what lies before the next unopened one.
             until = min(opened + batch, len(leaves), int(np.searchsorted(distance, self.stop * worst)))
             if until > opened:
-                rows = np.concatenate([np.arange(self.tree.edges[x], self.tree.edges[x + 1]) for x in leaves[opened:until]])
-                gap = self.tree.points[rows] - point
-                waiting, behind = np.concatenate([waiting, rows]), np.concatenate([behind, (gap * gap).sum(axis=1)])
-                order = behind.argsort(kind="stable")
+                rows = np.concatenate([self.tree.rows[x] for x in leaves[opened:until]])
+                gap = np.maximum(self.squares[rows] - 2 * (self.tree.points[rows] @ point) + own, 0)
+                waiting, behind = np.concatenate([waiting, rows]), np.concatenate([behind, gap])
+                if worst < np.inf:  # the bound only falls: what lies beyond it is never verified
+                    inside = behind < self.stop * worst
+                    waiting, behind = waiting[inside], behind[inside]
+                order = behind.argsort()
                 waiting, behind = waiting[order], behind[order]
                 opened, batch = until, batch * 2
             near = distance[opened] if opened < len(leaves) else np.inf
@@ -125,11 +130,16 @@ class BlockIndex:
             while done < ready and behind[done] < self.stop * worst:
                 part = waiting[done : min(done + max(VERIFIED, seen // 4), ready)]
                 part = part[: max(1, int(np.searchsorted(behind[done : done + len(part)], self.stop * worst)))]
-                found = self.ids[part]
+                seen, done = seen + len(part), done + len(part)
+                found, block = self.ids[part], self.vectors[part]
+                hit = found != query_id
+                if len(ids) == k:  # one product for all; only rows that may be among the best get their score
+                    hit &= block @ query >= scores.min() - room
+                    if not hit.any():
+                        continue
                 # A row's own sum, not a matrix product: equal vectors get equal scores.
-                values = (self.vectors[part] * query).sum(axis=1)
-                seen, done, other = seen + len(part), done + len(part), found != query_id
-                ids, scores = np.concatenate([ids, found[other]]), np.concatenate([scores, values[other]])
+                ids = np.concatenate([ids, found[hit]])
+                scores = np.concatenate([scores, (block[hit] * query).sum(axis=1)])
                 if len(ids) > k:
                     best = np.lexsort((ids, -scores))[:k]
                     ids, scores = ids[best], scores[best]

@@ -52,3 +52,29 @@ def test_few_rows_and_a_query_alone():
     assert ids.tolist() == [0, 1] and scores.tolist() == [1.0, 1.0]
     ids, _, _ = index_of(x[:1]).search(0, x[0], 20)
     assert len(ids) == 0
+
+
+class Counted(np.ndarray):
+    """Vectors that count the rows multiplied one by one."""
+
+    rows = 0
+
+    def __mul__(self, other):
+        Counted.rows += len(self)
+        return np.asarray(self) * other
+
+
+def test_only_rows_that_may_be_among_the_best_are_scored_one_by_one():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x[2500:] = x[:500]  # equal vectors: equal scores, smaller ids first
+    index = index_of(x)
+    index.stop = np.inf
+    index.vectors = index.vectors.view(Counted)
+    Counted.rows = 0
+    for q in range(0, 3000, 100):
+        ids, scores, seen = index.search(q, x[q], 20)
+        exact = (x * x[q]).sum(axis=1)
+        wanted = [i for i in np.lexsort((np.arange(3000), -exact)) if i != q][:20]
+        assert seen == 3000 and ids.tolist() == wanted and scores.tolist() == exact[wanted].tolist()
+    assert Counted.rows < 0.2 * 3000 * 30
