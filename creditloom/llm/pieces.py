@@ -7,7 +7,7 @@ covers becomes the byte pieces of its UTF-8 form, at a score below every piece.
 
 No piece continues after a word into the next blank, so the best path of a text
 is that of its stretches (blanks and the word after them) put together; paths of
-common stretches are remembered up to CACHE stretches. A vocabulary where a
+common stretches are remembered, CACHE of them at most, by all tasks of a worker. A vocabulary where a
 piece crosses such a border is refused.
 
 Blanks are written as the blank sign, with one in front of the text. The blank
@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from math import inf
 
 import ahocorasick
 import pyarrow as pa
@@ -40,6 +42,9 @@ _LITERAL = "▁"  # a blank sign of the text itself, held apart while encodin
 CACHE = 300_000
 PENALTY = 10.0
 STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+BORDER = re.compile(f"(?<=[^{BLANK}]){BLANK}")
+SPAN = 1 << 20  # characters whose stretches are listed at a time
+_BYTES = (1, -1, 0.0)  # one character, spelled
 
 
 @dataclass(frozen=True)
@@ -59,51 +64,78 @@ def load_vocabulary(path: str) -> Vocabulary:
     )
 
 
+class Paths(dict):
+    """Ids of stretches met so far, as the bytes of an int array; a stretch that is not there is worked out.
+
+    Of two halves of CACHE the older one goes when the newer one is full; what is met again moves to the newer one.
+    """
+
+    def __init__(self, best_path: Callable[[str], Sequence[int]]):
+        self.best_path, self.older = best_path, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.older.pop(stretch, None)
+        if found is None:
+            found = array("i", self.best_path(stretch)).tobytes()
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[stretch] = found
+        return found
+
+
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         crossing = [p for p, _, _ in vocabulary.pieces if re.search(f"[^{BLANK}]{BLANK}", p)]
         if crossing:
             raise ValueError(f"pieces cross a word border: {crossing[:5]}")
-        self.byte_ids = vocabulary.byte_ids
+        self.vocabulary, self.byte_ids = vocabulary, vocabulary.byte_ids
         self.unknown = min((s for _, _, s in vocabulary.pieces), default=0.0) - PENALTY
-        self.automaton = ahocorasick.Automaton()
-        for piece, number, score in vocabulary.pieces:
-            self.automaton.add_word(piece, (len(piece), number, score))
-        if vocabulary.pieces:
-            self.automaton.make_automaton()
         self.table = {i: p.replace(BLANK, " ").encode() for p, i, _ in vocabulary.pieces}
         self.table |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def best_path(self, stretch: str) -> tuple[int, ...]:
+        self.known = Paths(self.best_path)
+        self.blank = array("i", self.spelled(BLANK))
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        automaton = ahocorasick.Automaton()
+        for piece, number, score in self.vocabulary.pieces:
+            automaton.add_word(piece, (len(piece), number, score))
+        if self.vocabulary.pieces:
+            automaton.make_automaton()
+        return automaton
+
+    def best_path(self, stretch: str) -> list[int]:
         """Ids of the segmentation with the highest sum of scores; of equal ones the one with the longest last pieces."""
-        size = len(stretch)
-        best = [0.0] + [None] * size
-        came: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        reached = 0  # positions up to here are settled
-        ends = self.automaton.iter(stretch) if len(self.automaton) else iter(())
-        for end, (length, number, score) in ends:
+        size, unknown = len(stretch), self.unknown
+        best = [0.0] + [-inf] * size
+        came = [_BYTES] * (size + 1)
+        reached = 0  # positions up to here are settled: the character before them as bytes, if no piece reaches them with more
+        for end, piece in self.automaton.iter(stretch) if len(self.automaton) else ():
             while reached < end:
+                total = best[reached] + unknown
                 reached += 1
-                self._fall_back(best, came, reached)
-            total = best[end + 1 - length] + score
-            if best[end + 1] is None or total > best[end + 1]:
-                best[end + 1], came[end + 1] = total, (length, number)
+                if total > best[reached]:
+                    best[reached], came[reached] = total, _BYTES
+            end += 1
+            total = best[end - piece[0]] + piece[2]
+            if total > best[end]:
+                best[end], came[end] = total, piece
         while reached < size:
+            total = best[reached] + unknown
             reached += 1
-            self._fall_back(best, came, reached)
+            if total > best[reached]:
+                best[reached], came[reached] = total, _BYTES
         out, at = [], size
         while at:
-            length, number = came[at]
-            out.append([number] if number >= 0 else self.spelled(" " if stretch[at - 1] == BLANK else stretch[at - 1]))
+            length, number, _ = came[at]
+            if number >= 0:
+                out.append(number)
+            else:
+                out += reversed(self.spelled(" " if stretch[at - 1] == BLANK else stretch[at - 1]))
             at -= length
-        return tuple(i for part in reversed(out) for i in part)
-
-    def _fall_back(self, best: list, came: list, at: int) -> None:
-        """The character before this position as bytes, if no piece reaches it with more."""
-        total = best[at - 1] + self.unknown
-        if best[at] is None or total > best[at]:
-            best[at], came[at] = total, (1, -1)
+        out.reverse()
+        return out
 
     def spelled(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode()]
@@ -112,24 +144,27 @@ class Codec:
         ids = array("i")
         if not text:
             return ids
-        known = self.known
+        path = self.known.__getitem__
         for n, part in enumerate(text.split(BLANK)):
             if n:  # the blank sign itself
-                ids.extend(self.spelled(BLANK))
-            for m in STRETCH.finditer(("" if n else BLANK) + part.replace(" ", BLANK)):
-                stretch = m[0]
-                path = known.get(stretch)
-                if path is None:
-                    path = self.best_path(stretch)
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[stretch] = path
-                ids.extend(path)
+                ids.extend(self.blank)
+            marked = ("" if n else BLANK) + part.replace(" ", BLANK)
+            at = 0
+            while at < len(marked):
+                border = BORDER.search(marked, at + SPAN) if len(marked) - at > SPAN else None
+                until = border.start() if border else len(marked)
+                ids.frombytes(b"".join(map(path, STRETCH.findall(marked, at, until))))
+                at = until
         return ids
 
     def decode(self, ids) -> str:
-        table = self.table
-        return b"".join([table[i] for i in ids])[1:].decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, ids))[1:].decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=1)
+def _codec(pieces: tuple, byte_ids: tuple) -> Codec:
+    """The codec of a worker; its tasks over the same vocabulary share the paths met so far."""
+    return Codec(Vocabulary(pieces, byte_ids))
 
 
 def _ids_array(rows: list[array | None]) -> pa.Array:
@@ -149,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_
     kind = T.StructType([docs.schema[c] for c in others]).add(out_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(*shared.value))
+        codec = _codec(*shared.value)
         for batch in batches:
             ids = [None if t is None else codec.encode(t.decode("utf-8", "replace")) for t in texts(batch, text_col)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in others]
@@ -165,7 +200,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
     kind = T.StructType([encoded.schema[c] for c in kept]).add(out_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(*shared.value))
+        codec = _codec(*shared.value)
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(ids_col))
             out = [None if not r.is_valid else codec.decode(r.values.to_numpy(zero_copy_only=False).tolist()) for r in rows]
