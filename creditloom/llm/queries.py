@@ -24,7 +24,7 @@ from creditloom.llm import (
     token_counts,
     url_filter,
 )
-from creditloom.session import configure
+from creditloom.session import UNION_BY_KEY, configure
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 SHARDS = 24
@@ -56,6 +56,7 @@ def query(sql: str | None = None):
 
 def prepared(spark: SparkSession) -> SparkSession:
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set(UNION_BY_KEY, "true")  # unions here are of the same key and grouped by it next
     return spark
 
 

@@ -109,3 +109,17 @@ def test_runtime_settings_are_applied(spark, sf0001):
     table(spark, sf0001, "nation")
     for key, value in RUNTIME_CONF.items():
         assert spark.conf.get(key) == value
+
+
+def test_accepted_and_rejected_decisions_are_joined_by_tasks_of_their_own(spark, sf0001):
+    """One task for both joins would sort its decisions twice and hold both."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    df = QUERIES["decision_appends"].build(spark, sf0001)
+    old = {key: spark.conf.get(key) for key in off}
+    try:
+        for key, value in off.items():
+            spark.conf.set(key, value)
+        assert df.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
