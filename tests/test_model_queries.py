@@ -1,9 +1,13 @@
 """The model queries with small learners: oracles, rows, and the steps that hand results on."""
 
+import threading
+
 import oracle
 import pytest
+from pyspark.ml.classification import GBTClassifier
 
 from creditloom.operators import model
+from creditloom.operators import training as tr
 from creditloom.plans import QUERIES, model_queries
 
 TRAINS = [n for n, q in QUERIES.items() if q.trains]
@@ -56,3 +60,23 @@ def test_results_whose_files_are_gone_are_built_again(spark, sf001):
     discard(first)
     first._scratch_path = path
     assert sorted(map(tuple, model_queries._votes(spark, sf001).collect())) == wanted
+
+
+def test_boosted_refit_runs_beside_the_folds(spark, sf001, monkeypatch):
+    later = {"fold-scores", "fold-areas", "scorer", f"fitted {model_queries.BOOSTING}"}
+    monkeypatch.setattr(model_queries, "_STORED", {at: v for at, v in model_queries._STORED.items() if at[2] not in later})
+    both, folds, refit = threading.Barrier(2), tr.out_of_fold, tr.fit_pipeline
+
+    def folds_wait(*args, **kwargs):
+        both.wait(60)
+        return folds(*args, **kwargs)
+
+    def refit_waits(rows, design, estimator, *args, **kwargs):
+        if isinstance(estimator, GBTClassifier):
+            both.wait(60)
+        return refit(rows, design, estimator, *args, **kwargs)
+
+    monkeypatch.setattr(tr, "out_of_fold", folds_wait)
+    monkeypatch.setattr(tr, "fit_pipeline", refit_waits)
+    assert tr.load_scorer(spark, model_queries._scorer(spark, sf001))[1].features
+    assert not both.broken

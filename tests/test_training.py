@@ -124,6 +124,21 @@ def test_a_repeated_call_keeps_finished_parts(spark, training):
         tr.out_of_fold(data, {"other": Refusing()}, path, 3)
 
 
+def test_fits_with_the_most_steps_begin_first(spark, training, monkeypatch):
+    data, _ = _folded(training)
+    families = model.learners(trees=2, rounds=3, depth=2)
+    families["Logistic Regression"].setMaxIter(2)
+    begun = []
+    own = GBTClassifier.fit, LogisticRegression.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: (begun.append("boosting"), own[0](self, df))[1])
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: (begun.append("linear"), own[1](self, df))[1])
+    scores = tr.out_of_fold(data, families, scratch_path(spark, "oof"), 3, parallelism=1)
+    assert begun == ["boosting"] * 3 + ["linear"] * 3
+    assert {r["model"]: r["count"] for r in scores.groupBy("model").count().collect()} == dict.fromkeys(families, 400)
+    steps = {name: tr.steps_of(e) for name, e in model.learners(rounds=200, depth=5).items()}
+    assert steps == {"Logistic Regression": 100, "Random Forest": 5, "Gradient Boosting": 1000}
+
+
 def test_search_is_seeded_and_ordered(spark, training):
     data, _ = _folded(training)
     grid = {"maxDepth": [1, 2], "stepSize": [0.1, 0.3], "maxIter": [2]}
