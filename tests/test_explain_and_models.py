@@ -10,7 +10,8 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from creditloom.operators import explain, model
-from creditloom.operators.selection import vote
+from creditloom.operators.explore import correlations_with
+from creditloom.operators.selection import select_by_correlation, vote
 from creditloom.operators.tree_explain import base_value, contributions, leaf_contributions, leaves_of, tree_contributions
 
 MODEL = explain.LinearModel(0.5, {"a": 2.0, "b": -1.0, "c": 0.25}, {"a": 1.0, "b": 3.0, "c": 0.0})
@@ -174,6 +175,27 @@ def test_scaling_uses_population_deviation(training):
     assert scaled.sort_values("SK_ID_CURR").a.to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
 
 
+def test_scaling_of_gaps_constants_and_no_rows(spark):
+    rows = spark.createDataFrame([(1.0, 2, None), (None, 2, None), (4.0, 2, None)], "a double, b int, c double")
+    assert model.fit_scaling(rows, list("cab")) == {"c": (None, 1.0), "a": (2.5, 1.5), "b": (2.0, 1.0)}
+    assert model.fit_scaling(rows.where("b > 2"), ["a"]) == {"a": (None, 1.0)}
+
+
+def test_selection_by_correlation_is_one_aggregate_for_any_number_of_columns(spark):
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame(rng.normal(size=(200, 120)), columns=[f"c{i}" for i in range(120)])
+    table["y"] = (table["c5"] + rng.normal(size=200) > 0).astype(int)
+    table["c6"], table["c7"] = 1.0, table["c7"].where(rng.random(200) < 0.7)
+    names = [f"c{i}" for i in range(120)]
+    df = spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"{c} double" for c in names) + ", y int")
+    chosen = select_by_correlation(df, names, "y")
+    wanted = {r["feature"]: r["corr"] for r in correlations_with(df, names, "y").where("abs(corr) >= 0.02").collect()}
+    assert {r["feature"]: r["corr"] for r in chosen.collect()} == pytest.approx(wanted, abs=1e-12)
+    assert "c5" in wanted and "c6" not in wanted
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("covar_pop(") == 1
+    assert select_by_correlation(df.where("y > 1"), names, "y").count() == 0
+
+
 def test_balanced_weights(training):
     pdf, df = training
     weights = model.with_balanced_weight(df).groupBy("TARGET").agg(F.sum("weight").alias("w"))

@@ -80,3 +80,22 @@ def test_boosted_refit_runs_beside_the_folds(spark, sf001, monkeypatch):
     monkeypatch.setattr(tr, "fit_pipeline", refit_waits)
     assert tr.load_scorer(spark, model_queries._scorer(spark, sf001))[1].features
     assert not both.broken
+
+
+def test_scaling_and_correlations_run_beside_the_importances(spark, sf001, monkeypatch):
+    later = {"scaled", "importance", "rounds", "lasso", "correlated", "votes"}
+    monkeypatch.setattr(model_queries, "_STORED", {at: v for at, v in model_queries._STORED.items() if at[2] not in later})
+    all_three = threading.Barrier(3)
+
+    def waiting(work):
+        def run(*args, **kwargs):
+            all_three.wait(60)
+            return work(*args, **kwargs)
+
+        return run
+
+    monkeypatch.setattr(model, "tree_importance", waiting(model.tree_importance))
+    monkeypatch.setattr(model, "fit_scaling", waiting(model.fit_scaling))
+    monkeypatch.setattr(model_queries, "select_by_correlation", waiting(model_queries.select_by_correlation))
+    assert model_queries._votes(spark, sf001).count() == len(model_queries._design(spark, sf001).features)
+    assert not all_three.broken
