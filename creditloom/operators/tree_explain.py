@@ -115,18 +115,35 @@ def leaf_contributions(value: float, inside: np.ndarray, share: np.ndarray) -> n
     return value * (inside - share) * np.stack(sums, axis=1)
 
 
+def patterns_met(pattern: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each different pattern, by rising pattern, and for every row its place among them.
+
+    Patterns of few features are counted off without sorting the rows.
+    """
+    if 1 << bits > len(pattern):
+        _, first, place = np.unique(pattern, return_index=True, return_inverse=True)
+        return first, place
+    first = np.full(1 << bits, -1)
+    first[pattern] = np.arange(len(pattern))
+    met = first >= 0
+    return first[met], (np.cumsum(met) - 1)[pattern]
+
+
 def contributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
     """Rows x features matrix of contributions in the units of the leaves."""
-    phi = np.zeros_like(x)
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros_like(columns)
     for value, features, low, high, share in leaves:
         at = list(features)
         if at:
-            values = x[:, at]
-            met = (values > low) & (values <= high)
-            pattern = met @ (1 << np.arange(len(at)))
-            _, first, row = np.unique(pattern, return_index=True, return_inverse=True)
-            phi[:, at] += leaf_contributions(value, met[first].astype(float), share)[row]
-    return phi
+            values = columns[at]
+            met = (values > low[:, None]) & (values <= high[:, None])
+            pattern = np.zeros(len(x), dtype=np.int64)
+            for i, inside in enumerate(met):
+                pattern |= inside.astype(np.int64) << i
+            first, place = patterns_met(pattern, len(at))
+            phi[at] += leaf_contributions(value, met[:, first].T.astype(float), share).T[:, place]
+    return phi.T
 
 
 def _flat(leaves: Sequence[Leaf]) -> tuple[np.ndarray, ...]:

@@ -143,6 +143,28 @@ def test_weights_equal_enumeration_of_all_coalitions():
                 assert got[p, i] == pytest.approx(want, abs=1e-12)
 
 
+def test_patterns_of_few_features_are_found_without_sorting(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    leaves = [
+        (float(rng.normal()), tuple(rng.choice(6, k, replace=False).tolist()), rng.normal(size=k) - 1, rng.normal(size=k) + 1, rng.random(k))
+        for k in (1, 3, 5, 5, 0)
+    ]
+    wanted = np.zeros_like(x)
+    for value, features, low, high, share in leaves:
+        at = list(features)
+        for row, own in enumerate(x) if at else ():
+            inside = ((own[at] > low) & (own[at] <= high)).astype(float)
+            wanted[row, at] += leaf_contributions(value, inside[None], share)[0]
+    few = contributions(x[:20], leaves)  # more patterns than rows: sorted
+    monkeypatch.setattr(np, "unique", None)
+    found = contributions(x, leaves)
+    assert np.allclose(found, wanted, rtol=0, atol=1e-12)
+    assert np.array_equal(found[:20], few)
+    assert contributions(x[:0], leaves[-1:]).shape == (0, 6)
+
+
 def test_deep_trees_and_forests_are_additive(spark, training):
     pdf, df = training
     data = model.assemble(df, list("abcd"))
