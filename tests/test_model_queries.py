@@ -5,6 +5,7 @@ import threading
 import oracle
 import pytest
 from pyspark.ml.classification import GBTClassifier
+from pyspark.sql import functions as F
 
 from creditloom.operators import model
 from creditloom.operators import training as tr
@@ -99,3 +100,37 @@ def test_scaling_and_correlations_run_beside_the_importances(spark, sf001, monke
     monkeypatch.setattr(model_queries, "select_by_correlation", waiting(model_queries.select_by_correlation))
     assert model_queries._votes(spark, sf001).count() == len(model_queries._design(spark, sf001).features)
     assert not all_three.broken
+
+
+def _keys(df):
+    return sorted(r[0] for r in df.select("SK_ID_CURR").collect())
+
+
+def test_selection_works_on_all_training_rows(spark, sf001):
+    wanted = _keys(model_queries._train(spark, sf001))
+    assert len(wanted) == round(0.8 * model_queries._rows(spark, sf001).count())
+    for rows in (model_queries._candidates, model_queries._scaled, model_queries._vectors):
+        assert _keys(rows(spark, sf001)) == wanted, rows.__name__
+    assert _keys(QUERIES["discriminant_projection"].build(spark, sf001)) == wanted
+
+
+def test_families_and_calibration_learn_from_all_training_rows(spark, sf001, monkeypatch):
+    train = {tuple(r) for r in model_queries._train(spark, sf001).select("SK_ID_CURR", "TARGET").collect()}
+    scores = model_queries._fold_scores(spark, sf001).select("model", "id", "y").collect()
+    for name in model.learners():
+        own = [(r["id"], r["y"]) for r in scores if r["model"] == name]
+        assert len(own) == len(train) and set(own) == train, name
+    seen, fit = [], model.fit_platt
+    monkeypatch.setattr(model, "fit_platt", lambda rows: (seen.append(rows.count()), fit(rows))[1])
+    monkeypatch.setattr(model_queries, "_STORED", {at: v for at, v in model_queries._STORED.items() if at[2] != "calibrated"})
+    model_queries._calibrated(spark, sf001)
+    assert seen == [len(train)]
+
+
+def test_folds_are_even_in_the_tuning_rows_and_in_all(spark, sf001):
+    rows = model_queries._rows(spark, sf001)
+    assert rows.where("fold is not null and not is_train or fold is null and is_train").isEmpty()
+    for part in (rows.where("tuning"), rows.where("is_train and not tuning")):
+        for target in (0, 1):
+            sizes = [r["count"] for r in part.where(F.col("TARGET") == target).groupBy("fold").count().collect()]
+            assert len(sizes) == model_queries.FOLDS and max(sizes) - min(sizes) <= 1
