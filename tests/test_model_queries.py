@@ -134,3 +134,17 @@ def test_folds_are_even_in_the_tuning_rows_and_in_all(spark, sf001):
         for target in (0, 1):
             sizes = [r["count"] for r in part.where(F.col("TARGET") == target).groupBy("fold").count().collect()]
             assert len(sizes) == model_queries.FOLDS and max(sizes) - min(sizes) <= 1
+
+
+def test_the_order_of_all_calibrated_scores_is_checked(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        F.col("id").alias("SK_ID_CURR"), (F.col("id") % 2).cast("int").alias("TARGET"), (F.col("id") / 3000).alias("p")
+    )
+
+    def rising(tested):
+        monkeypatch.setattr(model_queries, "_calibrated", lambda *at: tested)
+        return QUERIES["platt_check"].build(spark, "unused").first()["rising"]
+
+    kept = rows.withColumn("p_calibrated", F.col("p") / 2)
+    assert rising(kept)
+    assert not rising(kept.withColumn("p_calibrated", F.when(F.col("SK_ID_CURR") != 2900, F.col("p_calibrated")).otherwise(0.1)))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.operators.order_stats import exact_quantiles, exact_ranks, ranks, running_totals
+from creditloom.operators.order_stats import exact_quantiles, exact_ranks, never_falls, ranks, running_totals
 from creditloom.operators.sampling import (
     sample_rows,
     shuffle_key,
@@ -132,3 +132,18 @@ def test_split_and_folds_share_their_passes(spark):
     both = split_and_folds(df).collect()
     apart = {r.SK_ID_CURR: (r.is_train, r.fold) for r in stratified_split(df).withColumn("fold", stratified_folds(df)).collect()}
     assert {r.SK_ID_CURR: (r.is_train, r.fold) for r in both} == apart
+
+
+def test_a_fall_is_found_wherever_it_is(spark):
+    rising = spark.range(5000).select((F.col("id") % 4000 / 4000).alias("p"), (F.col("id") % 4000 * 1.0).alias("v"))
+    assert never_falls(rising, "p", "v") and never_falls(rising, "p", "v", buckets=37)
+    for at in (1, 2500, 3999):
+        broken = rising.withColumn("v", F.when(F.col("v") != at, F.col("v")).otherwise(at - 1.5))
+        assert not never_falls(broken, "p", "v", buckets=37) and not never_falls(broken, "p", "v", buckets=1)
+        assert never_falls(broken, "p", "v", slack=0.5, buckets=37)
+
+
+def test_falls_between_ranges_and_in_tables_without_pairs(spark):
+    steps = spark.createDataFrame([(0.1, 3.0), (0.2, 2.0), (0.2, 1.0), (0.9, 0.5)], "p double, v double")
+    assert not never_falls(steps, "p", "v", buckets=50) and never_falls(steps, "p", "v", slack=2.0, buckets=50)
+    assert never_falls(steps.limit(1), "p", "v") and never_falls(steps.limit(0), "p", "v")
