@@ -221,3 +221,12 @@ def test_importances_of_many_parts_are_fitted_in_few(spark, training, monkeypatc
     rows = training.select("SK_ID_CURR", "TARGET", "a", "c").repartition(16)
     got = {r["feature"]: r["importance"] for r in model.tree_importance(rows, ["a", "c"], rounds=2, depth=2).collect()}
     assert used == [1] and got["a"] > got["c"]
+
+
+def test_the_registered_search_draws_from_the_whole_grid():
+    """Rounds included; the draws are made before any fit."""
+    from creditloom.plans import model_queries
+
+    assert model_queries.SEARCH_GRID == model.BOOSTING_GRID
+    drawn = tr.draw_names(model.learners()[model_queries.BOOSTING], model_queries.SEARCH_GRID, model.DRAWS)
+    assert len(drawn) == 6 and {s["maxIter"] for s in drawn.values()} == {200, 400}
