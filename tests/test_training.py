@@ -223,10 +223,17 @@ def test_importances_of_many_parts_are_fitted_in_few(spark, training, monkeypatc
     assert used == [1] and got["a"] > got["c"]
 
 
-def test_the_registered_search_draws_from_the_whole_grid():
+def test_the_registered_search_draws_from_the_whole_grid(spark):
     """Rounds included; the draws are made before any fit."""
     from creditloom.plans import model_queries
 
     assert model_queries.SEARCH_GRID == model.BOOSTING_GRID
     drawn = tr.draw_names(model.learners()[model_queries.BOOSTING], model_queries.SEARCH_GRID, model.DRAWS)
     assert len(drawn) == 6 and {s["maxIter"] for s in drawn.values()} == {200, 400}
+
+
+def test_large_tables_keep_their_parts_however_many_fits_run(spark, training, monkeypatch):
+    wide, cores = training.repartition(16), spark.sparkContext.defaultParallelism
+    assert [model.in_few_parts(wide, 1, beside=k).rdd.getNumPartitions() for k in (1, 2, cores, 100)] == [cores, cores, 2, 1]
+    monkeypatch.setattr(model, "LINEAR_ROWS", 30)
+    assert model.in_few_parts(wide, 1, beside=100).rdd.getNumPartitions() == 14
