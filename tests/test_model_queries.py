@@ -148,3 +148,25 @@ def test_the_order_of_all_calibrated_scores_is_checked(spark, monkeypatch):
     kept = rows.withColumn("p_calibrated", F.col("p") / 2)
     assert rising(kept)
     assert not rising(kept.withColumn("p_calibrated", F.when(F.col("SK_ID_CURR") != 2900, F.col("p_calibrated")).otherwise(0.1)))
+
+
+def test_fits_at_the_same_time_share_the_cores(spark, sf001, monkeypatch):
+    """Many rows in a few tasks of each fit: two tasks a core in all, not one task a core for every fit."""
+    cores, used = spark.sparkContext.defaultParallelism, {}
+    monkeypatch.setattr(model, "TREE_ROWS", 10)
+    later = {"vectors", "fold-scores", "fold-areas", "search"}
+    monkeypatch.setattr(model_queries, "_STORED", {at: v for at, v in model_queries._STORED.items() if at[2] not in later})
+
+    class Seen(Exception):
+        pass
+
+    def watch(data, estimators, path, folds, parallelism):
+        used[parallelism] = data.rdd.getNumPartitions()
+        raise Seen
+
+    monkeypatch.setattr(tr, "out_of_fold", watch)
+    for step in (model_queries._fold_scores, model_queries._search):
+        with pytest.raises(Seen):
+            step(spark, sf001)
+    assert set(used) == {model_queries.FITS, model_queries.SEARCH_FITS}
+    assert all(n * fits <= 2 * cores + fits and n < cores for fits, n in used.items())
